@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # Hex digits of each algorithm's digest.
 HEX_DIGITS = {"md5": 32, "sha1": 40, "git": 40, "sha256": 64, "git256": 64, "cdhash": 64, "sha384": 96, "sha512": 128}
 TLSH_DIGITS = 70
-SSDEEP_TEXT = r"^[0-9]{1,10}:[A-Za-z0-9+/]{1,64}:[A-Za-z0-9+/]{1,32}$"
+SSDEEP_TEXT = r"^[0-9]{1,10}:[A-Za-z0-9+/]{1,64}:[A-Za-z0-9+/]{1,32}\z"
 
 
 def plain_digest(algo: Column, digest: Column) -> Column:
@@ -25,16 +25,25 @@ def plain_digest(algo: Column, digest: Column) -> Column:
     Plain: lower-case hex; for tlsh ``T1`` and 70 upper-case digits; for ssdeep
     ``blocksize:sig1:sig2`` with its case kept.  Native expressions only.
     """
-    token = F.regexp_extract(digest, r'^\s*(?:[A-Za-z0-9-]+ \([^\n]*\) = )?([^\s,"]+)', 1)
-    token = F.regexp_replace(token, r"(?i)^(?:md5|sha-?[0-9]+|git|git256|cdhash|ssdeep|tlsh):(?=.)", "")
-    bare = F.lower(F.translate(F.regexp_replace(token, "^0[xX]", ""), ":-", ""))
     digits = reduce(lambda w, kv: w.when(algo == kv[0], kv[1]), HEX_DIGITS.items(), F.when(F.lit(False), 0))
-    as_hex = F.when((F.length(bare) == digits) & ~bare.rlike("[^0-9a-f]"), bare)
-    upper = F.upper(token)
-    tail = F.when(F.length(upper) == TLSH_DIGITS + 2, F.regexp_replace(upper, "^T1", "")).otherwise(upper)
-    as_tlsh = F.when((F.length(tail) == TLSH_DIGITS) & ~tail.rlike("[^0-9A-F]"), F.concat(F.lit("T1"), tail))
-    as_ssdeep = F.when(token.rlike(SSDEEP_TEXT), token)
-    return F.when(algo == "tlsh", as_tlsh).when(algo == "ssdeep", as_ssdeep).otherwise(as_hex)
+    is_hex = lambda t: (F.length(t) == digits) & ~t.rlike("[^0-9a-f]")
+    is_tlsh = lambda t: (F.length(t) == TLSH_DIGITS + 2) & t.startswith("T1") & ~F.substring(t, 3, TLSH_DIGITS).rlike("[^0-9A-F]")
+    token = F.regexp_replace(
+        F.regexp_extract(digest, r'^\s*(?:[A-Za-z0-9-]+ \([^\n]*\) = )?([^\s,"]+)', 1), "(?i)^(?:md5|sha-?[0-9]+|git|git256|cdhash|ssdeep|tlsh):(?=.)", ""
+    )
+    bare = F.lower(F.translate(F.regexp_replace(token, "^0[xX]", ""), ":-", ""))
+    marked = F.when(F.length(token) == TLSH_DIGITS, F.concat(F.lit("T1"), F.upper(token))).otherwise(F.upper(token))
+    return (
+        # Most values are plain already; the conditions come from cheap to dear.
+        F.when(algo == "tlsh", F.when(is_tlsh(digest), digest).otherwise(_once(marked, lambda t: F.when(is_tlsh(t), t))))
+        .when(algo == "ssdeep", F.when(digest.rlike(SSDEEP_TEXT), digest).otherwise(_once(token, lambda t: F.when(t.rlike(SSDEEP_TEXT), t))))
+        .otherwise(F.when(is_hex(digest), digest).otherwise(_once(bare, lambda t: F.when(is_hex(t), t))))
+    )
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def plain_name(name: Column) -> Column:
