@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.functions import ctph, tlsh
@@ -17,9 +17,10 @@ from sievekit.session import written
 
 CHUNKS = 16
 CELL_WIDTH = 4  # length values; more apart than this many cost more than the greatest limit
+CELLS = 256 // CELL_WIDTH
 UNIT_ROWS = 16_384
 GREATEST_LIMIT = 47
-_PAIR = "id_1 long, id_2 long, distance int"
+PAIR = "id_1 long, id_2 long, distance int"
 
 
 def chunk_radii(limit: int) -> list[int]:
@@ -101,18 +102,23 @@ def near_in_memory(left: np.ndarray, right: np.ndarray, limit: int) -> tuple[np.
     return i[near], j[near], d[near]
 
 
-def _join_units(limit: int):
+def join_units(limit: int, two_sides: bool = False):
+    """For ``mapInArrow`` over rows sorted by unit: pairs within the limit of each unit's left and right rows.
+    With ``two_sides`` ``id_1`` is the left one; otherwise ids are in order, and a block meets itself once."""
+
     def unit(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         ids, is_left, own = t["id"].to_numpy(), t["is_left"].to_numpy(), t["a"].to_numpy() == t["b"].to_numpy()
         sig, _ = tlsh.parse(t["sig"].to_pylist())
         left = np.flatnonzero(is_left)
-        right = left if own[0] and not t["step"][0].as_py() else np.flatnonzero(~is_left)
+        right = left if not two_sides and own[0] and not t["step"][0].as_py() else np.flatnonzero(~is_left)
         i, j, d = near_in_memory(sig[left], sig[right], limit) if len(left) and len(right) else (np.zeros(0, int),) * 3
         i, j = ids[left[i]], ids[right[j]]
         once = i < j if right is left else i != j
         i, j, d = i[once], j[once], d[once]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(d.astype(np.int32))], ["id_1", "id_2", "distance"])
+        if not two_sides:
+            i, j = np.minimum(i, j), np.maximum(i, j)
+        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(d.astype(np.int32))], ["id_1", "id_2", "distance"])
 
     def run(batches):
         held, current = [], None
@@ -133,6 +139,11 @@ def _join_units(limit: int):
     return run
 
 
+def length_cell(plain: Column) -> Column:
+    """The cell, 0 to 63, of a tlsh digest's length byte."""
+    return F.floor(F.conv(F.reverse(F.substring(plain, 5, 2)), 16, 10).cast("int") / CELL_WIDTH).cast("int")
+
+
 def tlsh_pairs(df: DataFrame, limit: int = 40, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """All pairs of TLSH digests within ``limit`` of ``df`` (``id`` long, unique; ``plain``, distinct plain forms).
 
@@ -145,9 +156,8 @@ def tlsh_pairs(df: DataFrame, limit: int = 40, unit_rows: int = UNIT_ROWS) -> Da
     """
     if not 0 <= limit <= GREATEST_LIMIT:
         raise ValueError(f"limit must be 0 to {GREATEST_LIMIT}")
-    cells = 256 // CELL_WIDTH
-    length = F.conv(F.reverse(F.substring("plain", 5, 2)), 16, 10).cast("int")
-    rows = df.where(F.col("plain").rlike("^T1[0-9A-F]{70}$")).select("id", F.substring("plain", 3, 70).alias("sig"), F.floor(length / CELL_WIDTH).cast("int").alias("own"))
+    cells = CELLS
+    rows = df.where(F.col("plain").rlike("^T1[0-9A-F]{70}$")).select("id", F.substring("plain", 3, 70).alias("sig"), length_cell(F.col("plain")).alias("own"))
     counts = {r["own"]: r["n"] for r in rows.groupBy("own").agg(F.count("*").alias("n")).collect()}  # 64 rows at most
     blocks = [max(1, math.ceil(counts.get(c, 0) / unit_rows)) for c in range(cells)]
     of = lambda cell: F.element_at(F.array(*map(F.lit, blocks)), F.pmod(cell, F.lit(cells)) + 1)
@@ -167,7 +177,7 @@ def tlsh_pairs(df: DataFrame, limit: int = 40, unit_rows: int = UNIT_ROWS) -> Da
         .select("u.*", "id", "sig")
         .repartition(*key)
         .sortWithinPartitions(*key)
-        .mapInArrow(_join_units(limit), _PAIR)
+        .mapInArrow(join_units(limit), PAIR)
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bloom, hamming, topk
+from sievekit.llm import bloom, hamming, segments, topk
 from sievekit.queries import plain_sql
 from sievekit.sources.tables import table, with_plain
 
@@ -55,6 +55,49 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return bloom.error_rate(_answers(spark, d, absent=1_000_000))
 
 
+# ---- 3: new batches against all history
+
+_SPACES = {"digest_result": "regular", "symhash_result": "symhash"}
+
+
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    """``space``, ``table_name``, ``row_id``, ``batch_no``, ``algo``, ``plain`` of the rows of both tables that have a digest."""
+    parts = [
+        with_plain(table(spark, d, name)).where(F.col("plain").isNotNull()).select(F.lit(k).alias("space"), F.lit(name).alias("table_name"), "row_id", "batch_no", "algo", "plain")
+        for k, name in enumerate(_SPACES)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all batches with their ``status``, batch after batch through the index."""
+    index = segments.SegmentIndex(spark)
+    known = with_plain(table(spark, d, "known_digest"))
+    space = F.when(F.col("scan_mode") == "regular", 0).when(F.col("scan_mode") == "symhash", 1)
+    index.add(known.select(space.alias("space"), "algo", "plain"), compare=False)
+    rows = _batches(spark, d)
+    numbers = sorted({r[0] for name in _SPACES for r in table(spark, d, name).select("batch_no").where("batch_no IS NOT NULL").distinct().collect()})
+    judged = [index.add(rows.where(F.col("batch_no") == b)).withColumn("batch_no", F.lit(b)) for b in numbers]
+    if not judged:
+        return rows.withColumn("status", F.lit(segments.NEW))
+    status = judged[0]
+    for j in judged[1:]:
+        status = status.unionByName(j)
+    return rows.join(status.select("space", "batch_no", "plain", "status"), ["space", "batch_no", "plain"])
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose digest equals or is near to an accepted one."""
+    return _split(spark, d).where(F.col("status") != segments.NEW).select("table_name", "row_id")
+
+
+@query()
+def p3_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each table and batch by what became of them."""
+    return _split(spark, d).groupBy("table_name", "batch_no", "status").agg(F.count("*").alias("n_rows"))
+
+
 # ---- 4: most frequent digests
 
 
