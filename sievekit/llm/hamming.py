@@ -256,8 +256,9 @@ def ssdeep_pairs(df: DataFrame, least: int = 40) -> DataFrame:
 
 # ---- short texts: b-bit minwise signatures of their n-character pieces
 
-TEXT_CHUNKS, CHUNK_VALUES = 12, 4  # a chunk may have one wrong value
+TEXT_CHUNKS, CHUNK_VALUES = 10, 4  # a chunk may have one wrong value
 SLOTS = 1 << 16
+COMMON = 1.2  # taken off the logarithm of a piece's rarity: what every third text has counts next to nothing
 
 
 def text_grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -342,10 +343,10 @@ def text_pairs(df: DataFrame, size: int = 4, least: float = 0.70) -> DataFrame:
     """Pairs of texts whose distinct ``size``-character pieces have a Jaccard similarity of at least ``least``, of ``df``
     (``id`` long, unique; ``text``, distinct): ``id_1 < id_2``, ``similarity``.
 
-    Each text gets a signature of 48 minwise values of 16 bits, drawn with weights that grow with the rarity of a piece
+    Each text gets a signature of 40 minwise values of 16 bits, drawn with weights that grow with the rarity of a piece
     (counted over all texts, in a table of fixed size), so that what all texts share doesn't make candidates.  The
-    signature is split into 12 chunks of 4 values; one wrong value a chunk is allowed and enumerated by leaving each
-    value out.  Pairs with at most 23 of 48 values wrong always meet; the exact similarity then decides.
+    signature is split into 10 chunks of 4 values; one wrong value a chunk is allowed and enumerated by leaving each
+    value out.  Pairs with at most 19 of 40 values wrong always meet; the exact similarity then decides.
 
     Nulls and texts shorter than a piece are in no pair.
     """
@@ -355,7 +356,7 @@ def text_pairs(df: DataFrame, size: int = 4, least: float = 0.70) -> DataFrame:
     seen = np.zeros(SLOTS)
     seen[[r["slot"] for r in counts]] = [r["n"] for r in counts]
     total = max(1.0, seen.sum() / 100)
-    weights = spark.sparkContext.broadcast(np.maximum(np.log1p(total / np.maximum(seen, 1)), 0.01).astype(np.float32))
+    weights = spark.sparkContext.broadcast(np.clip(np.log1p(total / np.maximum(seen, 1)) - COMMON, 0.02, 6).astype(np.float32))
     keys = written(rows.mapInArrow(_signature_keys(size, weights), "key long, id long"))
     pairs = with_values(pairs_with_common_key(keys), rows, "text")
     return pairs.mapInArrow(_jaccard(size, least), "id_1 long, id_2 long, similarity double")
