@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bloom, hamming, segments, topk
+from sievekit.functions.spelling import plain_name
+from sievekit.llm import bloom, hamming, mixing, packing, segments, topk
+from sievekit.llm.tokens import with_token_counts
 from sievekit.queries import plain_sql
 from sievekit.sources.tables import table, with_plain
 
@@ -142,3 +144,57 @@ def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near digests and of alike paths among the ssdeep and tlsh rows."""
     return _near_pairs(spark, d).select("field_name", F.col("id_1").alias("row_id_1"), F.col("id_2").alias("row_id_2"))
+
+
+# ---- 6: filling containers
+
+
+def _sizes(spark: SparkSession, d: str, *columns) -> DataFrame:
+    return with_token_counts(table(spark, d, "documents").select("doc_id", *columns, "text"))
+
+
+@query()
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every text with its container of 2,048 tokens."""
+    return packing.pack(_sizes(spark, d), "doc_id", "n_tokens").withColumnRenamed("id", "doc_id")
+
+
+@query()
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that had to be cut because their text alone exceeds a container."""
+    return p6_containers(spark, d).where("piece = 1").select("doc_id").distinct()
+
+
+@query()
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens in them, and the share of their room that is used."""
+    full = F.countDistinct("container") * packing.CAPACITY
+    return p6_containers(spark, d).agg(
+        F.countDistinct("container").alias("n_containers"), F.sum("size").alias("n_tokens"), (F.sum("size") / F.when(full > 0, full)).alias("fill")
+    )
+
+
+# ---- 7: mixing sources
+
+
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    docs = _sizes(spark, d, plain_name(F.col("source")).alias("source")).select(F.col("doc_id").alias("id"), "source", F.col("n_tokens").alias("n"))
+    return mixing.Mixture(docs, table(spark, d, "mix_target"))
+
+
+@query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source's share is reached once over, with repeats, or not."""
+    return _mixture(spark, d).report().select("source", "standing")
+
+
+@query()
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares, tokens and rounds of each source."""
+    return _mixture(spark, d).report()
+
+
+@query()
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix by slot."""
+    return _mixture(spark, d).mix().withColumnRenamed("id", "doc_id")
