@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 WINDOW = 7
+PIECE = 5  # characters of a key; three of them lie in a window
 MIN_BLOCK = 3
 MAX_FIRST, MAX_SECOND = 64, 32
 MAX_BYTES = 1 << 32
@@ -133,6 +134,43 @@ def _unique(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """Scrambles 64-bit integers."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def window_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys such that digests with a score above 0 have one in common, and the row of each key.
+
+    Of each window of seven characters the five-character piece with the least hash is taken: equal windows choose
+    the same, and neighbouring windows mostly too, which halves the keys.  The block size is part of the key.
+    """
+    rows, sigs, blocks = [], [], []
+    for i, t in enumerate(texts):
+        p = parse(t)
+        if p:
+            for s, block in ((p[1], p[0]), (p[2], 2 * p[0])):
+                if len(s) >= WINDOW:
+                    rows.append(i)
+                    sigs.append(s)
+                    blocks.append(block)
+    if not rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    a, n = _matrix(sigs)
+    wide = a.astype(np.uint64)
+    grams = np.zeros((len(a), 60), dtype=np.uint64)
+    for k in range(PIECE):
+        grams = grams << np.uint64(8) | wide[:, k : k + 60]
+    h = mix(grams + mix(np.array(blocks, dtype=np.uint64))[:, None])
+    least = np.minimum(np.minimum(h[:, :58], h[:, 1:59]), h[:, 2:60])
+    inside = np.arange(58)[None, :] + WINDOW <= n[:, None]
+    at, _ = np.nonzero(inside)
+    both = np.unique(np.stack([np.array(rows, dtype=np.uint64)[at], least[inside]], axis=1), axis=0)
+    return both[:, 1].astype(np.uint64).view(np.int64), both[:, 0].astype(np.int64)
+
+
 def signature_scores(a: list[str], b: list[str], block: np.ndarray) -> np.ndarray:
     """Score of each pair of shortened signatures of one block size."""
     out = np.zeros(len(a), dtype=np.int64)

@@ -11,8 +11,8 @@ CHUNK_ROWS = 100_000
 _INDEX_BITS = (1 << 33) - 1
 
 
-def numbered_chunks(df: DataFrame, order: list, chunk_rows: int = CHUNK_ROWS, partitions: int | None = None) -> DataFrame:
-    """``df`` with ``chunk``: rows in the order of ``order`` cut into chunks of exactly ``chunk_rows`` (the last may be shorter).
+def numbered(df: DataFrame, order: list, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``number``, from 0: the place of each row in the order of ``order``, without a task that gets all rows.
 
     Rows are range-partitioned on ``order``, which must end in a column that tells equal keys apart, so that a
     key of any size spreads over partitions; each partition is sorted and its rows indexed, and the table written
@@ -29,11 +29,12 @@ def numbered_chunks(df: DataFrame, order: list, chunk_rows: int = CHUNK_ROWS, pa
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_part", before.alias("_offset"))
     number = F.col("_offset") + F.col("_index")
-    return (
-        table.join(F.broadcast(offsets), "_part")  # bounded: one row a partition
-        .withColumn("chunk", F.floor(number / chunk_rows))
-        .drop("_part", "_index", "_offset")
-    )
+    return table.join(F.broadcast(offsets), "_part").withColumn("number", number).drop("_part", "_index", "_offset")  # bounded: one row a partition
+
+
+def numbered_chunks(df: DataFrame, order: list, chunk_rows: int = CHUNK_ROWS, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``chunk``: rows in the order of ``order`` cut into chunks of exactly ``chunk_rows`` (the last may be shorter)."""
+    return numbered(df, order, partitions).withColumn("chunk", F.floor(F.col("number") / chunk_rows)).drop("number")
 
 
 def per_key_results(df: DataFrame, key: str, member: str, when: str, chunk_rows: int = CHUNK_ROWS, partitions: int | None = None) -> DataFrame:

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.operators.skew import per_key_results
+from sievekit.config import DigestSpec
+from sievekit.formats import build, xar
+from sievekit.operators import decode
+from sievekit.operators.formatting import match_line
+from sievekit.operators.matching import match, ssdeep_score, tlsh_distance
+from sievekit.operators.skew import numbered, per_key_results
+from sievekit.plans.pipeline import DigestQuery
 from sievekit.sources.tables import table, with_plain
 
 QUERIES: dict = {}
@@ -61,3 +67,211 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Digests held by at least 2 % of all rows."""
     total = table(spark, d, "digest_result").count()
     return digest_groups(spark, d).where(F.col("n_rows") * 50 >= total).select(F.col("key").alias("digest"))
+
+
+# ---- digests of whole texts
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """``seq``, ``path``, ``content`` of every document."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+DOCUMENTS_SQL = "documents_ AS (SELECT doc_id AS seq, 'doc/' || doc_id AS path, encode(text) AS content FROM documents)"
+_SQL_DIGESTS = {
+    "md5": "md5(content)", "sha1": "sha1(content)", "sha256": "sha256(content)",
+    "git": "sha1(encode('blob ' || octet_length(content)) || unhex('00') || content)", "git256": "sha256(encode('blob ' || octet_length(content)) || unhex('00') || content)",
+    "sha384": None, "sha512": None, "ssdeep": None, "tlsh": None,
+}
+
+
+def _digest_query(algo: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return DigestQuery(DigestSpec(algorithm=algo)).results(documents(spark, d)).select("seq", "digest")
+
+    run.__name__, run.__doc__ = f"digest_{algo}", f"{algo} of every document's text."
+    expression = _SQL_DIGESTS[algo]
+    return query(f"WITH {DOCUMENTS_SQL} SELECT seq, {expression} AS digest FROM documents_ WHERE content IS NOT NULL" if expression else None)(run)
+
+
+for _algo in _SQL_DIGESTS:
+    _digest_query(_algo)
+
+
+@query("WITH " + plain_sql("digest_result") + " SELECT row_id, plain FROM plain")
+def plain_digests(spark: SparkSession, d: str) -> DataFrame:
+    """The plain form of every digest; NULL where a row has none."""
+    return with_plain(table(spark, d, "digest_result")).select("row_id", "plain")
+
+
+# ---- containers made from the texts
+
+
+def _containers(spark: SparkSession, d: str, make) -> DataFrame:
+    return documents(spark, d).withColumn("content", make(F.col("content")))
+
+
+@query(f"""WITH {DOCUMENTS_SQL}, fat AS (SELECT *, unhex('cafebabe00000002010000070000000300000030' || printf('%08x', octet_length(content)) || '00000000'
+    || '0100000c00000002' || printf('%08x', 48 + octet_length(content)) || printf('%08x', octet_length(content)) || '00000000') || content || back AS file
+  FROM (SELECT *, unhex(array_to_string(list_reverse(regexp_extract_all(hex(content), '..')), '')) AS back FROM documents_ WHERE content IS NOT NULL))
+SELECT seq, 0 AS slice_idx, path, CAST(NULL AS VARCHAR) AS arch, sha256(file) AS digest FROM fat
+UNION ALL SELECT seq, 1, path || ' (x86_64)', 'x86_64', sha256(content) FROM fat
+UNION ALL SELECT seq, 2, path || ' (arm64e)', 'arm64e', sha256(back) FROM fat""")
+def macho_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Whole file and slices of fat files with two slices."""
+    return DigestQuery(DigestSpec(slices=True)).results(_containers(spark, d, build.fat_of)).select("seq", "slice_idx", "path", "arch", "digest")
+
+
+_NAMES_SQL = "list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: x <> '')"
+
+
+def _imports(spark: SparkSession, d: str) -> DataFrame:
+    """Executables that import the Latin words of the texts."""
+    names = F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), build.symbols_of(names).alias("content"))
+
+
+@query(f"SELECT doc_id AS seq, md5(array_to_string(list_sort({_NAMES_SQL}), ',')) AS digest FROM documents WHERE text IS NOT NULL")
+def symhash_md5(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of the sorted imported symbols."""
+    return DigestQuery(DigestSpec(symhash=True)).results(_imports(spark, d)).select("seq", "digest")
+
+
+@query(f"SELECT doc_id AS seq, sha256(array_to_string({_NAMES_SQL}, chr(10))) AS digest FROM documents WHERE text IS NOT NULL")
+def symhash_sha256_unsorted(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of the imported symbols in table order, a line each."""
+    spec = DigestSpec(algorithm="sha256", symhash=True, separator=r"\n", sort_symbols=False)
+    return DigestQuery(spec).results(_imports(spark, d)).select("seq", "digest")
+
+
+_DIRECTORY_SQL = "unhex('fade0c02' || printf('%08x', 44 + octet_length(content)) || repeat('00', 29) || '02' || repeat('00', 6)) || content"
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT seq, path || ' (x86_64)' AS path, sha256({_DIRECTORY_SQL}) AS digest FROM documents_ WHERE content IS NOT NULL")
+def cdhash_sha256(spark: SparkSession, d: str) -> DataFrame:
+    """Code directory hashes of the x86_64 slices; the stronger of two directories counts."""
+    rows = DigestQuery(DigestSpec(algorithm="cdhash")).results(_containers(spark, d, build.signed_of))
+    return rows.where("arch = 'x86_64'").select("seq", "path", "digest")
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT path AS line FROM documents_ WHERE content IS NOT NULL AND octet_length(content) > 0")
+def first_matching_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of the signed files that match, one for each file although both slices match."""
+    found = DigestQuery(DigestSpec(algorithm="cdhash")).results(_containers(spark, d, build.signed_of).where(F.octet_length("content") > 0))
+    targets = found.select(F.upper("digest").alias("target"))
+    files = documents(spark, d).where(F.octet_length("content") > 0)
+    spec = DigestSpec(algorithm="cdhash", quiet=True)
+    return DigestQuery(spec).lines(files.withColumn("content", build.signed_of(F.col("content"))), targets)
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT seq, sha1(content) AS digest FROM documents_ WHERE content IS NOT NULL")
+def xar_toc_sha1(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of the stored table of contents."""
+    return DigestQuery(DigestSpec(xar_toc=True)).results(_containers(spark, d, build.xar_stored_of)).select("seq", "digest")
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT seq, sha1(content) AS digest FROM documents_ WHERE octet_length(content) > 0")
+def xar_toc_decompressed(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of the inflated table of contents; an empty one has none."""
+    return DigestQuery(DigestSpec(xar_toc=True, decompress=True)).results(_containers(spark, d, build.xar_of)).select("seq", "digest")
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT seq, 28 AS header_size, 1 AS version, CAST(octet_length(content) AS BIGINT) AS toc_len, CAST(1 AS BIGINT) AS cksum_alg FROM documents_ WHERE content IS NOT NULL")
+def xar_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Header fields of archives."""
+    rows = _containers(spark, d, build.xar_stored_of).select("seq", xar.header(F.col("content")).alias("h")).where("h IS NOT NULL")
+    return rows.select("seq", "h.header_size", "h.version", F.col("h.toc_len").cast("long").alias("toc_len"), "h.cksum_alg")
+
+
+@query("""SELECT seq, slice_idx, CASE WHEN cputype = 16777228 AND (cpusubtype & 16777215) = 2 THEN 'arm64e' WHEN cputype = 16777228 THEN 'arm64'
+  WHEN cputype = 16777223 THEN 'x86_64' WHEN cputype = 7 THEN 'i386' WHEN cputype = 12 THEN 'arm' WHEN cputype = 18 THEN 'ppc' WHEN cputype = 16777234 THEN 'ppc64'
+  ELSE 'unknown' END AS arch FROM fat_arch""")
+def arch_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the architectures of all entries."""
+    return table(spark, d, "fat_arch").select("seq", "slice_idx", decode.arch_name(F.col("cputype"), F.col("cpusubtype")).alias("arch"))
+
+
+# ---- matching
+
+
+def _plain_results(spark: SparkSession, d: str, *algos: str) -> DataFrame:
+    rows = with_plain(table(spark, d, "digest_result"), "digest")
+    return (rows.where(F.col("algo").isin(*algos)) if algos else rows).select("row_id", "digest").where(F.col("digest").isNotNull())
+
+
+def _known(spark: SparkSession, d: str, *algos: str) -> DataFrame:
+    rows = with_plain(table(spark, d, "known_digest"), "target")
+    return (rows.where(F.col("algo").isin(*algos)) if algos else rows).select("target")
+
+
+_TWO_PLAIN_SQL = "WITH r AS (WITH " + plain_sql("digest_result") + " SELECT * FROM plain WHERE plain IS NOT NULL), k AS (WITH " + plain_sql("known_digest") + " SELECT * FROM plain) "
+
+
+@query(_TWO_PLAIN_SQL + "SELECT row_id, plain AS digest FROM r WHERE lower(plain) IN (SELECT lower(plain) FROM k)")
+def match_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose digest is known, in any case."""
+    return match(_plain_results(spark, d), _known(spark, d).select(F.upper("target").alias("target")), "sha256").drop("score")
+
+
+@query(_TWO_PLAIN_SQL + "SELECT row_id, plain AS digest FROM r WHERE EXISTS (SELECT 1 FROM k WHERE starts_with(lower(r.plain), substr(lower(k.plain), 1, 12)) OR starts_with(substr(lower(k.plain), 1, 12), lower(r.plain)))")
+def match_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose digest begins with the first twelve digits of a known one."""
+    return match(_plain_results(spark, d), _known(spark, d).select(F.substring("target", 1, 12).alias("target")), "cdhash").drop("score")
+
+
+@query()
+def match_ssdeep(spark: SparkSession, d: str) -> DataFrame:
+    """ssdeep rows near a known digest, with the best score."""
+    return match(_plain_results(spark, d, "ssdeep"), _known(spark, d, "ssdeep"), "ssdeep", 40)
+
+
+@query()
+def match_tlsh(spark: SparkSession, d: str) -> DataFrame:
+    """tlsh rows near a known digest, with the least distance."""
+    return match(_plain_results(spark, d, "tlsh"), _known(spark, d, "tlsh"), "tlsh", 40)
+
+
+@query("SELECT 0 AS same, -1 AS malformed, 100 AS ssdeep_same, 0 AS ssdeep_other")
+def distances_of_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Distance and score of a digest to itself, of malformed ones, and of unlike ones."""
+    t = "T1" + "A0" * 35
+    rows = spark.createDataFrame([(t, t.lower(), "96:" + "abcdefgh" * 4 + ":" + "abcdefgh" * 2)], "a string, b string, s string")
+    score, distance = ssdeep_score.asNondeterministic(), tlsh_distance.asNondeterministic()
+    return rows.select(
+        distance("a", "b").alias("same"), distance(F.lit("invalid"), F.lit("alsobad")).alias("malformed"), score("s", "s").alias("ssdeep_same"), score(F.lit("3:abc:def"), F.lit("96:zzz:yyy")).alias("ssdeep_other")
+    )
+
+
+# ---- lines
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT sha256(content) || '  ' || path AS line FROM documents_ WHERE content IS NOT NULL")
+def format_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Digest and path."""
+    return DigestQuery(DigestSpec()).lines(documents(spark, d))
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT md5(content) AS line FROM documents_ WHERE content IS NOT NULL")
+def format_quiet(spark: SparkSession, d: str) -> DataFrame:
+    """Digests only."""
+    return DigestQuery(DigestSpec(algorithm="md5", quiet=True)).lines(documents(spark, d))
+
+
+@query("WITH " + plain_sql("digest_result") + " SELECT plain || repeat(' ', greatest(0, 107 - length(plain))) || printf(' %3d', slice_idx) || '  ' || path AS line FROM plain WHERE plain IS NOT NULL AND algo = 'ssdeep'")
+def format_match_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Padded digest, a number in the place of the score, path."""
+    rows = with_plain(table(spark, d, "digest_result")).where("plain IS NOT NULL AND algo = 'ssdeep'")
+    return rows.select(match_line(F.col("plain"), F.col("slice_idx"), F.col("path"), "ssdeep").alias("line"))
+
+
+@query("SELECT row_number() OVER (ORDER BY encode(path), seq) AS place, path FROM work_item WHERE path IS NOT NULL")
+def sorted_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths in binary order with their places, numbered without putting them all in one task."""
+    rows = table(spark, d, "work_item").where(F.col("path").isNotNull()).select("path", "seq")
+    return numbered(rows, ["path", "seq"]).select((F.col("number") + 1).alias("place"), "path")
+
+
+@query()
+def file_tree(spark: SparkSession, d: str) -> DataFrame:
+    """SHA-256 of the files of the table folder."""
+    return DigestQuery(DigestSpec(jobs=0, sort=True)).over_files(spark, [d]).select("path", "digest")
