@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.functions import ctph, tlsh
+from sievekit.functions.ctph import mix
 from sievekit.llm.pairs import pairs_with_common_key, with_values
 from sievekit.session import written
 
@@ -183,48 +184,9 @@ def tlsh_pairs(df: DataFrame, limit: int = 40, unit_rows: int = UNIT_ROWS) -> Da
 
 # ---- ssdeep: a score above 0 needs seven characters in common, so the chunks are windows without errors
 
-_GRAM, _SPAN = 5, ctph.WINDOW - 5 + 1
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-def window_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys such that digests with a score above 0 have one in common, and the row of each key.
-
-    Of each window of seven characters the five-character piece with the least hash is taken: equal windows choose
-    the same, and neighbouring windows mostly too, which halves the keys.  The block size is part of the key.
-    """
-    rows, sigs, blocks = [], [], []
-    for i, t in enumerate(texts):
-        p = ctph.parse(t)
-        if p:
-            for s, block in ((p[1], p[0]), (p[2], 2 * p[0])):
-                if len(s) >= ctph.WINDOW:
-                    rows.append(i)
-                    sigs.append(s)
-                    blocks.append(block)
-    if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    a, n = ctph._matrix(sigs)
-    wide = a.astype(np.uint64)
-    grams = np.zeros((len(a), 60), dtype=np.uint64)
-    for k in range(_GRAM):
-        grams = grams << np.uint64(8) | wide[:, k : k + 60]
-    h = _mix(grams + _mix(np.array(blocks, dtype=np.uint64))[:, None])
-    least = np.minimum(np.minimum(h[:, :58], h[:, 1:59]), h[:, 2:60])
-    inside = np.arange(58)[None, :] + ctph.WINDOW <= n[:, None]
-    at, _ = np.nonzero(inside)
-    both = np.unique(np.stack([np.array(rows, dtype=np.uint64)[at], least[inside]], axis=1), axis=0)
-    return both[:, 1].astype(np.uint64).view(np.int64), both[:, 0].astype(np.int64)
-
-
 def _ssdeep_keys(batches):
     for b in batches:
-        keys, at = window_keys(b.column("plain").to_pylist())
+        keys, at = ctph.window_keys(b.column("plain").to_pylist())
         ids = b.column("id").to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[at].astype(np.int64))], ["key", "id"])
 
@@ -269,7 +231,7 @@ def text_grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
     h = np.zeros(len(points) - size + 1, dtype=np.uint64)
     for k in range(size):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + points[k : k + len(h)] + np.uint64(1))
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + points[k : k + len(h)] + np.uint64(1))
     n = np.maximum(lengths - size + 1, 0)
     h, row = h[_expand(np.cumsum(lengths) - lengths, n)], np.repeat(np.arange(len(texts)), n)
     order = np.lexsort((h, row))
@@ -304,10 +266,10 @@ def _signature_keys(size: int, weights):
             scale = 1 / weight[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
             sig = np.zeros((len(some), values), dtype=np.uint64)
             for v in range(values):  # a weighted draw that is the same for equal pieces
-                u = ((_mix(h + np.uint64((v + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)
+                u = ((mix(h + np.uint64((v + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)
                 draw = -np.log(u) * scale
                 sig[:, v] = np.minimum.reduceat(draw, starts[some]).view(np.uint32)
-            sig = _mix(sig) & np.uint64(0xFFFF)  # b = 16 bits a value
+            sig = mix(sig) & np.uint64(0xFFFF)  # b = 16 bits a value
             keys = np.zeros((len(some), TEXT_CHUNKS, CHUNK_VALUES), dtype=np.uint64)
             for c in range(TEXT_CHUNKS):
                 for wrong in range(CHUNK_VALUES):

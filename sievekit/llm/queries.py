@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.functions.spelling import plain_name
-from sievekit.llm import bloom, hamming, mixing, packing, segments, topk
+from sievekit.llm import bloom, hamming, mixing, packing, segments, topk, toxicity
 from sievekit.llm.tokens import with_token_counts
 from sievekit.queries import plain_sql
 from sievekit.sources.tables import table, with_plain
@@ -198,3 +198,29 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mix by slot."""
     return _mixture(spark, d).mix().withColumnRenamed("id", "doc_id")
+
+
+# ---- 8: abusive, hateful or sexual content
+
+
+@query()
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score of every document, and whether it counts as toxic."""
+    documents = table(spark, d, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, d, "doc_label")))
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least one toxic passage."""
+    return p8_scores(spark, d).where("is_toxic").select("doc_id").distinct()
+
+
+@query()
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, toxic documents, their rate and the mean score of each source."""
+    return (
+        p8_scores(spark, d)
+        .groupBy("source")
+        .agg(F.count("*").alias("n_docs"), F.count_if("is_toxic").alias("n_toxic"), F.avg(F.col("is_toxic").cast("double")).alias("toxic_rate"), F.avg("score").alias("mean_score"))
+    )
