@@ -76,16 +76,13 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     index = segments.SegmentIndex(spark)
     known = with_plain(table(spark, d, "known_digest"))
     space = F.when(F.col("scan_mode") == "regular", 0).when(F.col("scan_mode") == "symhash", 1)
-    index.add(known.select(space.alias("space"), "algo", "plain"), compare=False)
+    index.add(known.select(space.alias("space"), "algo", "plain"), -1, compare=False)
     rows = _batches(spark, d)
     numbers = sorted({r[0] for name in _SPACES for r in table(spark, d, name).select("batch_no").where("batch_no IS NOT NULL").distinct().collect()})
-    judged = [index.add(rows.where(F.col("batch_no") == b)).withColumn("batch_no", F.lit(b)) for b in numbers]
-    if not judged:
-        return rows.withColumn("status", F.lit(segments.NEW))
-    status = judged[0]
-    for j in judged[1:]:
-        status = status.unionByName(j)
-    return rows.join(status.select("space", "batch_no", "plain", "status"), ["space", "batch_no", "plain"])
+    for b in numbers:
+        index.add(rows.where(F.col("batch_no") == b), b)
+    status = index.judged().select("space", F.col("batch").alias("batch_no"), "plain", "status")
+    return rows.join(status, ["space", "batch_no", "plain"])
 
 
 @query()

@@ -23,7 +23,7 @@ from sievekit.session import shared_folder
 SEGMENT = 4
 NEW, EQUAL, NEAR = "new", "equal", "near"
 _SEGMENTS = "array<struct<key: bigint, length: int, at: int>>"
-_SCHEMA = f"space int, algo string, plain string, id bigint, status string, segments {_SEGMENTS}"
+_SCHEMA = f"batch int, space int, algo string, plain string, id bigint, status string, segments {_SEGMENTS}"
 
 
 def _signatures(plain: Column) -> list[tuple[Column, Column]]:
@@ -67,19 +67,21 @@ class SegmentIndex:
 
     def accepted(self) -> DataFrame:
         """All accepted digests with their segments."""
-        if not self.tables:
-            return self.spark.createDataFrame([], _SCHEMA)
-        return self.spark.read.schema(_SCHEMA).parquet(*self.tables).where(F.col("status") == NEW)
+        return self.judged().where(F.col("status") == NEW)
 
-    def add(self, batch: DataFrame, compare: bool = True) -> DataFrame:
+    def judged(self) -> DataFrame:
+        """The distinct digests of all batches so far: ``batch``, ``space``, ``algo``, ``plain``, ``id``, ``status``, ``segments``."""
+        return self.spark.read.schema(_SCHEMA).parquet(*self.tables) if self.tables else self.spark.createDataFrame([], _SCHEMA)
+
+    def add(self, rows: DataFrame, batch: int, compare: bool = True) -> DataFrame:
         """Splits a batch (``space`` int, ``algo``, ``plain``) against what was accepted before it, and appends what is new.
 
-        Result: its distinct digests with ``status`` new, equal or near.  Digests of one batch aren't compared with each other.
+        Result: its distinct digests with ``status`` new, equal or near, as in ``judged``.  Digests of one batch aren't compared with each other.
         Null digests are left out; an empty batch gives no rows and accepts nothing.  Without ``compare`` all are accepted.
         """
         path = f"{self.folder}/batch-{len(self.tables):06d}"
         fresh = (
-            batch.where(F.col("plain").isNotNull() & F.col("space").isNotNull())
+            rows.where(F.col("plain").isNotNull() & F.col("space").isNotNull())
             .groupBy("space", "algo", "plain")  # a digest that fills the batch is one row a map task
             .agg(F.xxhash64(F.first("space"), F.first("plain")).alias("id"))
         )
@@ -95,8 +97,9 @@ class SegmentIndex:
             judged = fresh.withColumn("status", F.lit(NEW))
         is_stored = (F.col("algo") == "ssdeep") & (F.col("status") == NEW)
         segments = F.when(is_stored, _pieces(F.col("space"), F.col("plain"), SEGMENT))
-        judged.select("space", "algo", "plain", "id", "status", segments.cast(_SEGMENTS).alias("segments")).write.parquet(path)
+        judged.select(F.lit(batch).cast("int").alias("batch"), "space", "algo", "plain", "id", "status", segments.cast(_SEGMENTS).alias("segments")).write.parquet(path)
         self.tables.append(path)
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of this batch
         return self.spark.read.schema(_SCHEMA).parquet(path)
 
     def _near_ssdeep(self, fresh: DataFrame, old: DataFrame) -> DataFrame:
