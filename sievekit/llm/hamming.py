@@ -220,7 +220,7 @@ def ssdeep_pairs(df: DataFrame, least: int = 40) -> DataFrame:
 
 TEXT_CHUNKS, CHUNK_VALUES = 10, 4  # a chunk may have one wrong value
 SLOTS = 1 << 16
-COMMON = 1.2  # taken off the logarithm of a piece's rarity: what every third text has counts next to nothing
+COMMON, RARE = 0.1, 0.5  # shares of the greatest rarity: taken off each, and beyond which pieces count alike
 
 
 def text_grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,10 +243,11 @@ def text_grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _slot_counts(size: int):
     def run(batches):
-        counts = np.zeros(SLOTS, dtype=np.int64)
+        counts = np.zeros(SLOTS + 1, dtype=np.int64)  # the last: texts
         for b in batches:
+            counts[SLOTS] += b.num_rows
             h, _ = text_grams(b.column("text").to_pylist(), size)
-            counts += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            counts[:SLOTS] += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["slot", "n"])
 
@@ -314,11 +315,11 @@ def text_pairs(df: DataFrame, size: int = 4, least: float = 0.70) -> DataFrame:
     """
     spark = df.sparkSession
     rows = df.where(F.length("text") >= size).select("id", "text")
-    counts = rows.select("text").mapInArrow(_slot_counts(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
-    seen = np.zeros(SLOTS)
+    counts = rows.select("text").mapInArrow(_slot_counts(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # 65,537 rows at most
+    seen = np.zeros(SLOTS + 1)
     seen[[r["slot"] for r in counts]] = [r["n"] for r in counts]
-    total = max(1.0, seen.sum() / 100)
-    weights = spark.sparkContext.broadcast(np.clip(np.log1p(total / np.maximum(seen, 1)) - COMMON, 0.02, 6).astype(np.float32))
+    rarity, greatest = np.log1p(seen[SLOTS] / np.maximum(seen[:SLOTS], 1)), np.log1p(seen[SLOTS])
+    weights = spark.sparkContext.broadcast(np.clip(rarity - COMMON * greatest, 0.02, max(0.02, RARE * greatest)).astype(np.float32))
     keys = written(rows.mapInArrow(_signature_keys(size, weights), "key long, id long"))
     pairs = with_values(pairs_with_common_key(keys), rows, "text")
     return pairs.mapInArrow(_jaccard(size, least), "id_1 long, id_2 long, similarity double")
