@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sievekit.functions.spelling import plain_name
 from sievekit.llm import bloom, hamming, mixing, packing, segments, topk, toxicity
+from sievekit.llm.groups import linked_groups
 from sievekit.llm.tokens import with_token_counts
 from sievekit.queries import plain_sql
+from sievekit.session import written
 from sievekit.sources.tables import table, with_plain
 
 QUERIES: dict = {}
@@ -143,6 +145,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _near_pairs(spark, d).select("field_name", F.col("id_1").alias("row_id_1"), F.col("id_2").alias("row_id_2"))
 
 
+@query()
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each digest and path that is near to another: its group, named by the smallest row_id, and its links."""
+    pairs = written(_near_pairs(spark, d))
+    of = lambda field: linked_groups(pairs.where(F.col("field_name") == field)).withColumn("field_name", F.lit(field))
+    both = of("digest").unionByName(of("file_path"))
+    return both.select("field_name", F.col("id").alias("row_id"), F.col("group_id"), "n_links")
+
+
 # ---- 6: filling containers
 
 
