@@ -82,8 +82,9 @@ class SegmentIndex:
         path = f"{self.folder}/batch-{len(self.tables):06d}"
         fresh = (
             rows.where(F.col("plain").isNotNull() & F.col("space").isNotNull())
-            .groupBy("space", "algo", "plain")  # a digest that fills the batch is one row a map task
-            .agg(F.xxhash64(F.first("space"), F.first("plain")).alias("id"))
+            .select("space", "algo", "plain")
+            .distinct()  # a digest that fills the batch is one row a map task
+            .withColumn("id", F.xxhash64("space", "plain"))
         )
         if compare and self.tables:
             old = self.accepted()
