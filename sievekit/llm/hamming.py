@@ -219,6 +219,7 @@ def ssdeep_pairs(df: DataFrame, least: int = 40) -> DataFrame:
 # ---- short texts: b-bit minwise signatures of their n-character pieces
 
 TEXT_CHUNKS, CHUNK_VALUES = 10, 4  # a chunk may have one wrong value
+MAX_WRONG = 28  # of 40 values, for a candidate to be compared exactly
 SLOTS = 1 << 16
 COMMON, RARE = 0.1, 0.5  # shares of the greatest rarity: taken off each, and beyond which pieces count alike
 
@@ -254,7 +255,9 @@ def _slot_counts(size: int):
     return run
 
 
-def _signature_keys(size: int, weights):
+def _signatures(size: int, weights):
+    """``id``, the ``keys`` of its chunks with each value left out, and four bits of each value in three integers."""
+
     def run(batches):
         values = TEXT_CHUNKS * CHUNK_VALUES
         weight = weights.value
@@ -279,12 +282,24 @@ def _signature_keys(size: int, weights):
                         if v != wrong:
                             k = k << np.uint64(16) | sig[:, c * CHUNK_VALUES + v]
                     keys[:, c, wrong] = k
-            flat = keys.reshape(len(some), -1)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.ravel().view(np.int64)), pa.array(np.repeat(ids, flat.shape[1]))], ["key", "id"])
+            flat = keys.reshape(len(some), -1).view(np.int64)
+            short = np.zeros((len(some), 3), dtype=np.uint64)
+            for v in range(values):
+                short[:, v // 16] |= (sig[:, v] & np.uint64(15)) << np.uint64(4 * (v % 16))
+            lists = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * flat.shape[1], flat.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), lists, *(pa.array(short[:, k].view(np.int64)) for k in range(3))], ["id", "keys", "s0", "s1", "s2"])
 
     return run
 
 
+def _wrong(a: Column, b: Column) -> Column:
+    """Groups of four bits in which two integers differ."""
+    x = a.bitwiseXOR(b)
+    for k in (1, 2):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def _jaccard(size: int, least: float):
     def run(batches):
         for b in batches:
@@ -309,7 +324,8 @@ def text_pairs(df: DataFrame, size: int = 4, least: float = 0.70) -> DataFrame:
     Each text gets a signature of 40 minwise values of 16 bits, drawn with weights that grow with the rarity of a piece
     (counted over all texts, in a table of fixed size), so that what all texts share doesn't make candidates.  The
     signature is split into 10 chunks of 4 values; one wrong value a chunk is allowed and enumerated by leaving each
-    value out.  Pairs with at most 19 of 40 values wrong always meet; the exact similarity then decides.
+    value out.  Pairs with at most 19 of 40 values wrong always meet; of what meets, pairs with more than 28 wrong are dropped
+    and the exact similarity decides on the others.
 
     Nulls and texts shorter than a piece are in no pair.
     """
@@ -320,6 +336,9 @@ def text_pairs(df: DataFrame, size: int = 4, least: float = 0.70) -> DataFrame:
     seen[[r["slot"] for r in counts]] = [r["n"] for r in counts]
     rarity, greatest = np.log1p(seen[SLOTS] / np.maximum(seen[:SLOTS], 1)), np.log1p(seen[SLOTS])
     weights = spark.sparkContext.broadcast(np.clip(rarity - COMMON * greatest, 0.02, max(0.02, RARE * greatest)).astype(np.float32))
-    keys = written(rows.mapInArrow(_signature_keys(size, weights), "key long, id long"))
-    pairs = with_values(pairs_with_common_key(keys), rows, "text")
+    signed = written(rows.mapInArrow(_signatures(size, weights), "id long, keys array<long>, s0 long, s1 long, s2 long"))
+    pairs = pairs_with_common_key(signed.select(F.explode("keys").alias("key"), "id"))
+    bits = signed.select("id", F.struct("s0", "s1", "s2").alias("bits"))
+    near = with_values(pairs, bits, "bits").where(sum((_wrong(F.col(f"value_1.s{k}"), F.col(f"value_2.s{k}")) for k in range(3)), F.lit(0)) <= MAX_WRONG)
+    pairs = with_values(near.select("id_1", "id_2"), rows, "text")
     return pairs.mapInArrow(_jaccard(size, least), "id_1 long, id_2 long, similarity double")
