@@ -19,6 +19,7 @@ PIECE_START, PIECE_FACTOR = 0x28021967 & 63, 0x01000193 & 63
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 _STEP = [bytes((h * PIECE_FACTOR & 63) ^ (c & 63) for c in range(256)) for h in range(64)]
+_LONG = 6144  # bytes from which the vector form is faster
 _SAFE_BLOCK = MIN_BLOCK * ((99 + WINDOW) // WINDOW)
 
 
@@ -34,8 +35,35 @@ def _rolling(data: np.ndarray) -> np.ndarray:
     return out + shifted
 
 
+def _states(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The piece hash after each byte, for pieces that begin at ``starts``, without a loop over bytes.
+
+    Bit k of a product depends on no higher bit of its factors, so with the lower bits known bit k only flips or
+    stays: a running exclusive or, one for each of the six bits, cut where a piece begins.
+    """
+    piece = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(data)))
+    state, before = np.zeros(len(data), dtype=np.uint8), np.empty(len(data), dtype=np.uint8)
+    for k in range(6):
+        before[1:] = state[:-1]
+        before[starts] = PIECE_START & ((1 << k) - 1)
+        flips = np.bitwise_xor.accumulate((before * np.uint8(PIECE_FACTOR) >> np.uint8(k) ^ data >> np.uint8(k)) & np.uint8(1))
+        outside = flips[starts - 1]
+        outside[0] = 0
+        state |= (flips ^ outside[piece] ^ np.uint8(PIECE_START >> k & 1)) << np.uint8(k)
+    return state
+
+
 def _pieces(data: bytes, ends: np.ndarray, limit: int, tail: bool) -> str:
     """A digit for each piece; once ``limit`` is reached, later pieces go into the last one."""
+    if len(data) >= _LONG:
+        ends = ends.astype(np.int64)
+        kept = ends[: limit - 1]
+        last = len(data) if tail else int(ends[-1]) + 1 if len(ends) >= limit else 0
+        after = int(kept[-1]) + 1 if len(kept) else 0
+        reached = [*kept.tolist(), *([last - 1] if last > after else [])]
+        starts = np.concatenate([[0], kept[kept < len(data) - 1] + 1])
+        digits = [DIGITS[h] for h in _states(np.frombuffer(data, dtype=np.uint8), starts)[reached]]
+        return "".join(digits + [DIGITS[PIECE_START]] * (tail and last == after))
     cuts = ends.tolist()
     digits, start = [], 0
     for end in cuts[: limit - 1]:

@@ -73,8 +73,10 @@ def match(df: DataFrame, targets: list[str] | tuple[str, ...] | DataFrame, algor
 
     ssdeep: a score of at least ``threshold``, the greatest counts, and at least 0.  tlsh: a distance of at most ``threshold``, the
     least counts.  cdhash: equal, or either begins with the other.  Others: equal.  Upper and lower case are the same.
+    A column ``score`` that is there already is replaced; columns whose names begin with ``_`` may not be there.
     """
     algo = Algorithm.parse(algorithm)
+    df = df.drop("score")
     if not isinstance(targets, DataFrame):
         targets = list(dict.fromkeys(t for t in targets if t is not None))
         if len(targets) > INLINE_TARGETS:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.config import DigestSpec
+from sievekit.config import Algorithm, DigestSpec
 from sievekit.formats import build, xar
 from sievekit.operators import decode
 from sievekit.operators.formatting import match_line
 from sievekit.operators.matching import match, ssdeep_score, tlsh_distance
 from sievekit.operators.skew import numbered, per_key_results
 from sievekit.plans.pipeline import DigestQuery
+from sievekit.session import spread
 from sievekit.sources.tables import table, with_plain
 
 QUERIES: dict = {}
@@ -87,7 +88,8 @@ _SQL_DIGESTS = {
 
 def _digest_query(algo: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return DigestQuery(DigestSpec(algorithm=algo)).results(documents(spark, d)).select("seq", "digest")
+        rows = documents(spark, d)
+        return DigestQuery(DigestSpec(algorithm=algo)).results(spread(rows) if Algorithm(algo).is_fuzzy else rows).select("seq", "digest")
 
     run.__name__, run.__doc__ = f"digest_{algo}", f"{algo} of every document's text."
     expression = _SQL_DIGESTS[algo]
@@ -225,7 +227,29 @@ def match_ssdeep(spark: SparkSession, d: str) -> DataFrame:
     return match(_plain_results(spark, d, "ssdeep"), _known(spark, d, "ssdeep"), "ssdeep", 40)
 
 
-@query()
+def _hex_sql(text: str, at: str) -> str:
+    return f"(strpos('0123456789ABCDEF', substr({text}, {at}, 1)) - 1)"
+
+
+def _around_sql(x: str, y: str, size: int) -> str:
+    return f"least(abs({x} - {y}), {size} - abs({x} - {y}))"
+
+
+def tlsh_distance_sql(x: str, y: str) -> str:
+    """Distance of two plain tlsh digests, in DuckDB's SQL."""
+    length = _around_sql(*(f"({_hex_sql(t, '6')} * 16 + {_hex_sql(t, '5')})" for t in (x, y)), 256)
+    ratios = [_around_sql(_hex_sql(x, at), _hex_sql(y, at), 16) for at in ("7", "8")]
+    part = lambda f: "[0, 1, 2, 6][1 + abs(" + " - ".join(f.format(_hex_sql(t, "i")) for t in (x, y)) + ")]"
+    body = f"list_sum(list_transform(range(9, 73), lambda i: {part('({} // 4)')} + {part('({} % 4)')}))"
+    return (
+        f"CAST((CASE WHEN {length} <= 1 THEN {length} ELSE 12 * {length} END)"
+        + "".join(f" + (CASE WHEN {q} <= 1 THEN {q} ELSE ({q} - 1) * 12 END)" for q in ratios)
+        + f" + (CASE WHEN substr({x}, 3, 2) = substr({y}, 3, 2) THEN 0 ELSE 1 END) + {body} AS INTEGER)"
+    )
+
+
+@query(_TWO_PLAIN_SQL + f"""SELECT row_id, digest, min(d) AS score FROM (SELECT r.row_id, r.plain AS digest, {tlsh_distance_sql("r.plain", "k.plain")} AS d
+  FROM r, k WHERE r.algo = 'tlsh' AND k.algo = 'tlsh') WHERE d <= 40 GROUP BY ALL""")
 def match_tlsh(spark: SparkSession, d: str) -> DataFrame:
     """tlsh rows near a known digest, with the least distance."""
     return match(_plain_results(spark, d, "tlsh"), _known(spark, d, "tlsh"), "tlsh", 40)

@@ -52,10 +52,18 @@ def _local_root() -> str:
     return _made[0]
 
 
-def written(df, spark: SparkSession | None = None):
-    """``df`` as a table written once to the shared folder and read back: cuts the lineage
-    so that a lost executor costs no recomputation of what led to it."""
-    spark = spark or df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def written(df, by: str | None = None):
+    """``df`` as a table written once to the shared folder and read back: cuts the lineage, so that a lost executor costs no
+    recomputation of what led to it.  ``by``: a column whose values get folders of their own, for reading one alone."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def spread(df):
+    """``df``, which must come right from a scan, over all cores where its few files would keep only some of them busy.
+
+    For work in Python that costs far more than moving the rows; inputs of more partitions stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
