@@ -9,8 +9,8 @@ from sievekit.functions.spelling import plain_name
 from sievekit.llm import bloom, hamming, mixing, packing, segments, topk, toxicity
 from sievekit.llm.groups import linked_groups
 from sievekit.llm.tokens import with_token_counts
-from sievekit.queries import plain_sql
-from sievekit.session import written
+from sievekit.queries import plain_sql, tlsh_distance_sql
+from sievekit.session import spread, written
 from sievekit.sources.tables import table, with_plain
 
 QUERIES: dict = {}
@@ -79,10 +79,12 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     known = with_plain(table(spark, d, "known_digest"))
     space = F.when(F.col("scan_mode") == "regular", 0).when(F.col("scan_mode") == "symhash", 1)
     index.add(known.select(space.alias("space"), "algo", "plain"), -1, compare=False)
-    rows = _batches(spark, d)
-    numbers = sorted({r[0] for name in _SPACES for r in table(spark, d, name).select("batch_no").where("batch_no IS NOT NULL").distinct().collect()})
-    for b in numbers:
-        index.add(rows.where(F.col("batch_no") == b), b)
+    rows = written(_batches(spark, d).where(F.col("batch_no").isNotNull()), by="batch_no")
+    cells: dict[int, dict] = {r["batch_no"]: {} for r in rows.select("batch_no").distinct().collect()}
+    for r in index.cells(rows, "batch_no").collect():  # 128 rows a batch at most
+        cells[r["batch_no"]][r["space"], r["own"]] = r["n"]
+    for b in sorted(cells):
+        index.add(rows.where(F.col("batch_no") == b), b, cells=cells[b])
     status = index.judged().select("space", F.col("batch").alias("batch_no"), "plain", "status")
     return rows.join(status, ["space", "batch_no", "plain"])
 
@@ -128,13 +130,17 @@ def _fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "digest_result").where(F.col("algo").isin("ssdeep", "tlsh"))
 
 
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    """``text``, ``id`` of the different paths."""
+    return _fuzzy(spark, d).where(F.col("file_path").isNotNull()).groupBy(F.col("file_path").alias("text")).agg(F.min("row_id").alias("id"))
+
+
 def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
     """``field_name``, ``id_1``, ``id_2``; a value's id is the smallest row_id that holds it."""
     rows = _fuzzy(spark, d)
     digests = with_plain(rows).where(F.col("plain").isNotNull()).groupBy("algo", "plain").agg(F.min("row_id").alias("id"))
     of = lambda algo: digests.where(F.col("algo") == algo)
-    paths = rows.where(F.col("file_path").isNotNull()).groupBy(F.col("file_path").alias("text")).agg(F.min("row_id").alias("id"))
-    found = [("digest", hamming.tlsh_pairs(of("tlsh"))), ("digest", hamming.ssdeep_pairs(of("ssdeep"))), ("file_path", hamming.text_pairs(paths))]
+    found = [("digest", hamming.tlsh_pairs(of("tlsh"))), ("digest", hamming.ssdeep_pairs(of("ssdeep"))), ("file_path", hamming.text_pairs(_paths(spark, d)))]
     parts = [p.select(F.lit(name).alias("field_name"), "id_1", "id_2") for name, p in found]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -145,6 +151,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _near_pairs(spark, d).select("field_name", F.col("id_1").alias("row_id_1"), F.col("id_2").alias("row_id_2"))
 
 
+@query("""WITH v AS (SELECT file_path AS t, min(row_id) AS id FROM digest_result WHERE algo IN ('ssdeep', 'tlsh') AND file_path IS NOT NULL GROUP BY 1),
+g AS (SELECT id, unnest(list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)))) AS gram FROM v),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.id AS i, b.id AS j, count(*) AS b FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2)
+SELECT i AS row_id_1, j AS row_id_2 FROM c JOIN n x ON x.id = i JOIN n y ON y.id = j WHERE 10 * b >= 7 * (x.n + y.n - b)""")
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of alike paths."""
+    return hamming.text_pairs(_paths(spark, d)).select(F.col("id_1").alias("row_id_1"), F.col("id_2").alias("row_id_2"))
+
+
+@query("WITH t AS (SELECT plain, min(row_id) AS id FROM (WITH " + plain_sql("digest_result") + " SELECT * FROM plain WHERE algo = 'tlsh' AND plain IS NOT NULL) GROUP BY plain)"
+    + f" SELECT * FROM (SELECT a.id AS row_id_1, b.id AS row_id_2, {tlsh_distance_sql('a.plain', 'b.plain')} AS distance FROM t a JOIN t b ON a.id < b.id) WHERE distance <= 40")
+def p5_tlsh(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of near tlsh digests with their distances."""
+    rows = with_plain(table(spark, d, "digest_result").where("algo = 'tlsh'")).where(F.col("plain").isNotNull())
+    digests = rows.groupBy("plain").agg(F.min("row_id").alias("id"))
+    return hamming.tlsh_pairs(digests).select(F.col("id_1").alias("row_id_1"), F.col("id_2").alias("row_id_2"), "distance")
+
+
 @query()
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row for each digest and path that is near to another: its group, named by the smallest row_id, and its links."""
@@ -158,7 +183,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, d: str, *columns) -> DataFrame:
-    return with_token_counts(table(spark, d, "documents").select("doc_id", *columns, "text"))
+    return with_token_counts(spread(table(spark, d, "documents").select("doc_id", *columns, "text")))
 
 
 @query()
@@ -215,7 +240,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     """Score of every document, and whether it counts as toxic."""
     documents = table(spark, d, "documents")
-    return toxicity.score(documents, toxicity.train(documents, table(spark, d, "doc_label")))
+    return toxicity.score(spread(documents.select("doc_id", "source", "text")), toxicity.train(documents, table(spark, d, "doc_label")))
 
 
 @query()

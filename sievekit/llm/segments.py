@@ -11,6 +11,7 @@ the limit allows.  A batch reads the index by segment and never compares itself
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,15 @@ def _near_scores(least: int):
     return run
 
 
+def _blocks(counts: dict[tuple[int, int], int], cell: Column) -> Column:
+    """Blocks of a space's cell; only cells of more than one are named in the plan."""
+    many = {space * hamming.CELLS + c: math.ceil(n / hamming.UNIT_ROWS) for (space, c), n in counts.items() if n > hamming.UNIT_ROWS}
+    if not many:
+        return F.lit(1)
+    names = F.create_map(*(F.lit(x) for kv in many.items() for x in kv))
+    return F.coalesce(F.try_element_at(names, F.col("space") * hamming.CELLS + cell), F.lit(1))
+
+
 class SegmentIndex:
     """Accepted digests of several spaces (numbers that say what is compared with what), on disk.
 
@@ -73,82 +83,94 @@ class SegmentIndex:
         """The distinct digests of all batches so far: ``batch``, ``space``, ``algo``, ``plain``, ``id``, ``status``, ``segments``."""
         return self.spark.read.schema(_SCHEMA).parquet(*self.tables) if self.tables else self.spark.createDataFrame([], _SCHEMA)
 
-    def add(self, rows: DataFrame, batch: int, compare: bool = True) -> DataFrame:
+    @staticmethod
+    def cells(rows: DataFrame, *by: str) -> DataFrame:
+        """Rows of tlsh digests in each cell of lengths: ``by``, ``space``, ``own``, ``n``; 64 rows a space at most."""
+        own = hamming.length_cell(F.col("plain")).alias("own")
+        return rows.where((F.col("algo") == "tlsh") & F.col("space").isNotNull() & F.col("plain").isNotNull()).groupBy(*by, "space", own).agg(F.count("*").alias("n"))
+
+    def add(self, rows: DataFrame, batch: int, compare: bool = True, cells: dict[tuple[int, int], int] | None = None) -> DataFrame:
         """Splits a batch (``space`` int, ``algo``, ``plain``) against what was accepted before it, and appends what is new.
 
         Result: its distinct digests with ``status`` new, equal or near, as in ``judged``.  Digests of one batch aren't compared with each other.
         Null digests are left out; an empty batch gives no rows and accepts nothing.  Without ``compare`` all are accepted.
+        ``cells``: rows of tlsh digests by space and cell, at least as many as there are, if they have been counted already.
         """
-        path = f"{self.folder}/batch-{len(self.tables):06d}"
-        fresh = (
-            rows.where(F.col("plain").isNotNull() & F.col("space").isNotNull())
-            .select("space", "algo", "plain")
-            .distinct()  # a digest that fills the batch is one row a map task
-            .withColumn("id", F.xxhash64("space", "plain"))
-        )
-        if compare and self.tables:
-            old = self.accepted()
-            equal = old.select("space", "plain", F.lit(EQUAL).alias("equal"))
-            checked = fresh.join(equal, ["space", "plain"], "left")
-            open_ = checked.where(F.col("equal").isNull())
-            near = self._near_ssdeep(open_, old).unionByName(self._near_tlsh(open_, old)).distinct().withColumn("near", F.lit(NEAR))
-            judged = checked.join(near, "id", "left").withColumn("status", F.coalesce("equal", "near", F.lit(NEW)))
+        name = f"{len(self.tables):06d}"
+        kept = rows.where(F.col("plain").isNotNull() & F.col("space").isNotNull()).select("space", "algo", "plain", F.lit(1).alias("seen"))
+        is_open = compare and bool(self.tables)
+        if is_open:
+            kept = kept.unionByName(self.accepted().select("space", "algo", "plain", F.lit(2).alias("seen")))
+        # One row a digest, counted on the map side first: a digest that fills the batch is one row a map task.
+        fresh = kept.groupBy("space", "algo", "plain").agg(F.bit_or("seen").alias("seen")).where(F.col("seen").bitwiseAND(F.lit(1)) == 1)
+        fresh = fresh.select("space", "algo", "plain", F.xxhash64("space", "plain").alias("id"), (F.col("seen") == 3).alias("is_equal"))
+        if is_open:
+            fresh.write.parquet(f"{self.folder}/fresh-{name}")
+            fresh = self.spark.read.schema(fresh.schema).parquet(f"{self.folder}/fresh-{name}")
+        if cells is None:
+            cells = {(r["space"], r["own"]): r["n"] for r in self.cells(fresh).collect()}
+        if is_open:
+            old, asked = self.accepted(), fresh.where(~F.col("is_equal"))
+            near = self._near_ssdeep(asked, old).unionByName(self._near_tlsh(asked, old, cells))
+            parts = [(fresh.where("is_equal"), EQUAL), (asked.join(near, "id", "left_semi"), NEAR), (asked.join(near, "id", "left_anti"), NEW)]
         else:
-            self._near_tlsh(fresh, None)
-            judged = fresh.withColumn("status", F.lit(NEW))
-        is_stored = (F.col("algo") == "ssdeep") & (F.col("status") == NEW)
-        segments = F.when(is_stored, _pieces(F.col("space"), F.col("plain"), SEGMENT))
-        judged.select(F.lit(batch).cast("int").alias("batch"), "space", "algo", "plain", "id", "status", segments.cast(_SEGMENTS).alias("segments")).write.parquet(path)
+            parts = [(fresh, NEW)]
+        columns = ["space", "algo", "plain", "id"]
+        judged = [p.select(F.lit(batch).cast("int").alias("batch"), *columns, F.lit(status).alias("status"), self._stored(status)) for p, status in parts]
+        path = f"{self.folder}/batch-{name}"
+        reduce(DataFrame.unionByName, judged).write.parquet(path)
         self.tables.append(path)
+        for k, n in cells.items():
+            self.stored[k] = self.stored.get(k, 0) + n
         self.spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of this batch
         return self.spark.read.schema(_SCHEMA).parquet(path)
 
+    @staticmethod
+    def _stored(status: str) -> Column:
+        """Segments of the ssdeep digests that are accepted."""
+        pieces = _pieces(F.col("space"), F.col("plain"), SEGMENT) if status == NEW else F.lit(None)
+        return F.when(F.col("algo") == "ssdeep", pieces).cast(_SEGMENTS).alias("segments")
+
     def _near_ssdeep(self, fresh: DataFrame, old: DataFrame) -> DataFrame:
         is_ssdeep = F.col("algo") == "ssdeep"
-        probes = fresh.where(is_ssdeep).select(F.col("id").alias("id_1"), F.explode(_pieces(F.col("space"), F.col("plain"), 1)).alias("p")).select("id_1", "p.key", F.col("p.length").alias("m"))
-        index = old.where(is_ssdeep).select(F.col("id").alias("id_2"), F.explode("segments").alias("s")).select("id_2", "s.key", F.col("s.length").alias("n"))
+        asked, known = fresh.where(is_ssdeep), old.where(is_ssdeep)
+        probes = asked.select(F.col("id").alias("id_1"), F.explode(_pieces(F.col("space"), F.col("plain"), 1)).alias("p")).select("id_1", "p.key", F.col("p.length").alias("m"))
+        index = known.select(F.col("id").alias("id_2"), F.explode("segments").alias("s")).select("id_2", "s.key", F.col("s.length").alias("n"))
         # The least edit distance of two lengths is their difference; beyond the bound the score is too low.
         bound = (F.abs(F.col("m") - F.col("n")) * 64) < (F.col("m") + F.col("n")) * math.ceil(64 * (101 - self.least) / 100)
-        pairs = probes.join(index, "key").where(bound).select("id_1", "id_2").distinct()
-        both = pairs.join(fresh.select(F.col("id").alias("id_1"), F.col("plain").alias("value_1")), "id_1").join(
-            old.where(is_ssdeep).select(F.col("id").alias("id_2"), F.col("plain").alias("value_2")), "id_2"
-        )
+        # Partitioned by one id, pairs need no further exchange to become distinct and to get its text.
+        pairs = probes.join(index, "key").where(bound).select("id_1", "id_2").repartition("id_1").distinct()
+        texts = lambda df, i: df.select(F.col("id").alias(f"id_{i}"), F.col("plain").alias(f"value_{i}"))
+        both = pairs.join(texts(asked, 1), "id_1").join(texts(known, 2), "id_2")
         return both.select("id_1", "value_1", "value_2").mapInArrow(_near_scores(self.least), "id long")
 
-    def _near_tlsh(self, fresh: DataFrame, old: DataFrame | None) -> DataFrame | None:
+    def _near_tlsh(self, fresh: DataFrame, old: DataFrame, counts: dict[tuple[int, int], int]) -> DataFrame:
+        """Digests meet the accepted ones of their cell and of both next ones, cut into blocks where a cell is large."""
+        stored = dict(self.stored)
         cell = hamming.length_cell(F.col("plain"))
-        own = lambda df: df.where(F.col("algo") == "tlsh").select("space", "id", F.substring("plain", 3, 70).alias("sig"), cell.alias("own"))
-        counts = {(r["space"], r["own"]): r["n"] for r in own(fresh).groupBy("space", "own").agg(F.count("*").alias("n")).collect()}  # 64 rows a space at most
-        blocks = lambda n: max(1, math.ceil(n / hamming.UNIT_ROWS))
-        result = None
-        if old is not None:
-            # Most cells are one block; only the others are named in the plan.
-            many = lambda of, cell: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in of.items() if n > hamming.UNIT_ROWS for x in (k[0] * hamming.CELLS + k[1], blocks(n))]), F.col("space") * hamming.CELLS + cell), F.lit(1)) if any(n > hamming.UNIT_ROWS for n in of.values()) else F.lit(1)
-            stored = dict(self.stored)
-            home = lambda df, of: df.withColumn("mine", F.pmod(F.xxhash64("id"), many(of, F.col("own"))).cast("int"))
-            other = F.explode(F.array(*(F.pmod(F.col("own") + k, F.lit(hamming.CELLS)).cast("int") for k in (-1, 0, 1))))
-            left = (
-                home(own(fresh), counts)
-                .select("space", "id", "sig", "own", "mine", other.alias("cell"))
-                .select("*", F.explode(F.sequence(F.lit(0), many(stored, F.col("cell")) - 1)).alias("b"))
-                .select(F.struct("space", "cell", "own").alias("where"), F.col("mine").alias("a"), "b", F.lit(True).alias("is_left"), "id", "sig")
-            )
-            right = (
-                home(own(old), stored)
-                .select("space", "id", "sig", F.col("own").alias("cell"), F.col("mine").alias("b"), other.alias("near"))
-                .withColumnRenamed("near", "own")
-                .select("*", F.explode(F.sequence(F.lit(0), many(counts, F.col("own")) - 1)).alias("a"))
-                .select(F.struct("space", "cell", "own").alias("where"), "a", "b", F.lit(False).alias("is_left"), "id", "sig")
-            )
-            key = ["cell", "a", "step", "b"]
-            result = (
-                left.unionByName(right)
-                .select((F.col("where.space") * hamming.CELLS + F.col("where.cell")).alias("cell"), "a", F.col("where.own").alias("step"), "b", "is_left", "id", "sig")
-                .repartition(*key)
-                .sortWithinPartitions(*key)
-                .mapInArrow(hamming.join_units(self.limit, two_sides=True), hamming.PAIR)
-                .select(F.col("id_1").alias("id"))
-            )
-        for k, n in counts.items():
-            self.stored[k] = self.stored.get(k, 0) + n
-        return result
+        home = lambda df, of: (
+            df.where(F.col("algo") == "tlsh")
+            .select("space", "id", F.substring("plain", 3, 70).alias("sig"), cell.alias("own"))
+            .withColumn("mine", F.pmod(F.xxhash64("id"), _blocks(of, F.col("own"))).cast("int"))
+        )
+        around = F.explode(F.array(*(F.pmod(F.col("own") + k, F.lit(hamming.CELLS)).cast("int") for k in (-1, 0, 1))))
+        left = (
+            home(fresh, counts)
+            .select("space", "id", "sig", "own", F.col("mine").alias("a"), around.alias("cell"))
+            .select("*", F.explode(F.sequence(F.lit(0), _blocks(stored, F.col("cell")) - 1)).alias("b"), F.lit(True).alias("is_left"))
+        )
+        right = (
+            home(old, stored)
+            .select("space", "id", "sig", F.col("own").alias("cell"), F.col("mine").alias("b"), around.alias("near"))
+            .withColumnRenamed("near", "own")
+            .select("*", F.explode(F.sequence(F.lit(0), _blocks(counts, F.col("own")) - 1)).alias("a"), F.lit(False).alias("is_left"))
+        )
+        key = ["cell", "a", "step", "b"]
+        return (
+            left.unionByName(right)
+            .select((F.col("space") * hamming.CELLS + F.col("cell")).alias("cell"), "a", F.col("own").alias("step"), "b", "is_left", "id", "sig")
+            .repartition(*key)
+            .sortWithinPartitions(*key)
+            .mapInArrow(hamming.join_units(self.limit, two_sides=True), hamming.PAIR)
+            .select(F.col("id_1").alias("id"))
+        )
