@@ -13,6 +13,7 @@ PIECE = 5  # characters of a key; three of them lie in a window
 MIN_BLOCK = 3
 MAX_FIRST, MAX_SECOND = 64, 32
 MAX_BYTES = 1 << 32
+MAX_DIGITS = 12  # of a block size
 INVALID = -1
 # The piece hash's start and factor, of which six bits matter, and the digits.
 PIECE_START, PIECE_FACTOR = 0x28021967 & 63, 0x01000193 & 63
@@ -108,7 +109,7 @@ def parse(text: str | None) -> tuple[int, str, str] | None:
     What follows a comma (a quoted path) is ignored.
     """
     parts = text.split(",", 1)[0].split(":") if text else []
-    if len(parts) != 3 or not parts[0].isascii() or not parts[0].isdigit() or int(parts[0]) == 0:
+    if len(parts) != 3 or not parts[0].isascii() or not parts[0].isdigit() or len(parts[0]) > MAX_DIGITS or int(parts[0]) == 0:
         return None
     return int(parts[0]), shorten(parts[1]), shorten(parts[2])
 
@@ -175,17 +176,21 @@ def window_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Of each window of seven characters the five-character piece with the least hash is taken: equal windows choose
     the same, and neighbouring windows mostly too, which halves the keys.  The block size is part of the key.
     """
-    rows, sigs, blocks = [], [], []
+    rows, sigs, blocks, short = [], [], [], []
     for i, t in enumerate(texts):
         p = parse(t)
         if p:
+            if len(p[1]) < WINDOW:  # equal after shortening is the only way to score without a window
+                short.append(((int.from_bytes(p[1].encode(), "big") << 8 | len(p[1])) & 0xFFFFFFFFFFFFFFFF, p[0], i))
             for s, block in ((p[1], p[0]), (p[2], 2 * p[0])):
                 if len(s) >= WINDOW:
                     rows.append(i)
                     sigs.append(s)
                     blocks.append(block)
+    whole = np.array(short, dtype=np.uint64).reshape(-1, 3)
+    whole = np.stack([mix(whole[:, 0] + mix(whole[:, 1] + np.uint64(1 << 40))), whole[:, 2]], axis=1)
     if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.ascontiguousarray(whole[:, 0]).view(np.int64), whole[:, 1].astype(np.int64)
     a, n = _matrix(sigs)
     wide = a.astype(np.uint64)
     grams = np.zeros((len(a), 60), dtype=np.uint64)
@@ -196,7 +201,8 @@ def window_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.arange(58)[None, :] + WINDOW <= n[:, None]
     at, _ = np.nonzero(inside)
     both = np.unique(np.stack([np.array(rows, dtype=np.uint64)[at], least[inside]], axis=1), axis=0)
-    return both[:, 1].astype(np.uint64).view(np.int64), both[:, 0].astype(np.int64)
+    both = np.concatenate([both, whole[:, ::-1]])
+    return np.ascontiguousarray(both[:, 1]).view(np.int64), both[:, 0].astype(np.int64)
 
 
 def signature_scores(a: list[str], b: list[str], block: np.ndarray) -> np.ndarray:
