@@ -36,14 +36,19 @@ def _signatures(plain: Column) -> list[tuple[Column, Column]]:
 
 
 def _pieces(space: Column, plain: Column, step: int) -> Column:
-    """Pieces of four characters at every ``step``-th position of both signatures."""
+    """Pieces of four characters at every ``step``-th position of both signatures.
 
-    def of(block: Column, sig: Column) -> Column:
+    A first signature too short for a window is one piece: only an equal one scores.
+    """
+
+    def of(block: Column, sig: Column, is_first: bool) -> Column:
         n = F.length(sig)
         piece = lambda i: F.struct(F.xxhash64(space, block, F.substr(sig, i + 1, F.lit(SEGMENT))).alias("key"), n.alias("length"), i.alias("at"))
-        return F.when(n >= ctph.WINDOW, F.transform(F.sequence(F.lit(0), n - SEGMENT, F.lit(step)), piece)).otherwise(F.array().cast(_SEGMENTS))
+        whole = F.struct(F.xxhash64(space, block, sig, F.lit("whole")).alias("key"), n.alias("length"), F.lit(0).alias("at"))
+        short = F.array(whole) if is_first else F.array().cast(_SEGMENTS)
+        return F.when(n >= ctph.WINDOW, F.transform(F.sequence(F.lit(0), n - SEGMENT, F.lit(step)), piece)).otherwise(short)
 
-    return F.concat(*(of(*s) for s in _signatures(plain)))
+    return F.concat(*(of(*s, k == 0) for k, s in enumerate(_signatures(plain))))
 
 
 def _near_scores(least: int):

@@ -53,11 +53,11 @@ def test_tlsh_limits(spark):
 
 
 def test_ssdeep_pairs(spark):
-    texts = list(dict.fromkeys(some_digests(random.Random(4), 25)))
+    texts = list(dict.fromkeys([*some_digests(random.Random(4), 25), "3:aaaab:c", "3:aaaaaab:c", "3::", "6::"]))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None), (901, "bad")], "id long, plain string")
-    want = {(i, j, s) for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and (s := ctph.score(x, y)) >= 40 and len(x) > 30 and len(y) > 30}
+    want = {(i, j, s) for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and (s := ctph.score(x, y)) >= 40}
     got = {tuple(r) for r in hamming.ssdeep_pairs(df).collect()}
-    assert want <= got and all(ctph.score(texts[i], texts[j]) == s >= 40 for i, j, s in got)
+    assert got == want
     assert hamming.ssdeep_pairs(df.where(F.lit(False))).count() == 0
     with pytest.raises(ValueError):
         hamming.ssdeep_pairs(df, 0)
@@ -99,7 +99,7 @@ def near(algo, x, y):
 def test_segment_index(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(hamming, "UNIT_ROWS", 6)
     r = random.Random(8)
-    pool = [("ssdeep", t) for t in some_digests(r, 30) if len(t) > 30] + [("tlsh", t) for t in tlsh_family(r, 8, 6)] + [("md5", "%032x" % r.getrandbits(128)) for _ in range(20)]
+    pool = [("ssdeep", t) for t in [*some_digests(r, 30), "3:aaaab:c", "3:aaaaaab:c", "3:a:"]] + [("tlsh", t) for t in tlsh_family(r, 8, 6)] + [("md5", "%032x" % r.getrandbits(128)) for _ in range(20)]
     index, accepted = SegmentIndex(spark, str(tmp_path / "index")), {0: [], 1: []}
     for number in range(4):
         batch = [(r.randrange(2), *r.choice(pool), "x") for _ in range(90)]
