@@ -1,4 +1,4 @@
-"""Multi-index Hamming joins: near pairs of TLSH digests, ssdeep digests and short texts."""
+"""Joins of near pairs: multi-index Hamming joins of TLSH and ssdeep digests, a prefix join of short texts."""
 
 from __future__ import annotations
 
@@ -216,12 +216,13 @@ def ssdeep_pairs(df: DataFrame, least: int = 40) -> DataFrame:
     return pairs.mapInArrow(_ssdeep_scores(least), "id_1 long, id_2 long, score int")
 
 
-# ---- short texts: b-bit minwise signatures of their n-character pieces
+# ---- short texts: prefixes of their n-character pieces, the rarest first
 
-TEXT_CHUNKS, CHUNK_VALUES = 10, 4  # a chunk may have one wrong value
-MAX_WRONG = 28  # of 40 values, for a candidate to be compared exactly
-SLOTS = 1 << 16
-COMMON, RARE = 0.1, 0.5  # shares of the greatest rarity: taken off each, and beyond which pieces count alike
+SLOTS = 1 << 16  # pieces are counted in so many
+WORDS = 4  # of 64 parity bits a text
+SMALL = 64  # units of fewer rows are compared together
+TILE = 256
+AT_ONCE = 1 << 20
 
 
 def text_grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,60 +245,127 @@ def text_grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _slot_counts(size: int):
     def run(batches):
-        counts = np.zeros(SLOTS + 1, dtype=np.int64)  # the last: texts
+        counts = np.zeros(SLOTS, dtype=np.int64)
         for b in batches:
-            counts[SLOTS] += b.num_rows
             h, _ = text_grams(b.column("text").to_pylist(), size)
-            counts[:SLOTS] += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            counts += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["slot", "n"])
 
     return run
 
 
-def _signatures(size: int, weights):
-    """``id``, the ``keys`` of its chunks with each value left out, and four bits of each value in three integers."""
+def _differ(least: float) -> float:
+    """What two texts' pieces not in common are at most, as a share of the pieces of both, in a pair that meets ``least``."""
+    return (1 - least) / (1 + least)
+
+
+def parities(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """256 bits of each text: which slots hold an odd number of its pieces.  Two texts differ in at most as many bits as
+    they have pieces not in common."""
+    words = np.zeros((n, WORDS), dtype=np.uint64)
+    np.bitwise_xor.at(words, (row, (h >> np.uint64(62)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(56) & np.uint64(63)))
+    return words
+
+
+def _prefixes(size: int, least: float, unit_rows: int, counts):
+    """For each text a row for each piece of its prefix, and for each pair of blocks where the piece is in many texts."""
 
     def run(batches):
-        values = TEXT_CHUNKS * CHUNK_VALUES
-        weight = weights.value
-        for b in batches:
-            h, starts = text_grams(b.column("text").to_pylist(), size)
-            some = np.flatnonzero(np.diff(starts))
-            ids = b.column("id").to_numpy(zero_copy_only=False)[some].astype(np.int64)
-            if not len(some):
-                continue
-            scale = 1 / weight[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
-            sig = np.zeros((len(some), values), dtype=np.uint64)
-            for v in range(values):  # a weighted draw that is the same for equal pieces
-                u = ((mix(h + np.uint64((v + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)
-                draw = -np.log(u) * scale
-                sig[:, v] = np.minimum.reduceat(draw, starts[some]).view(np.uint32)
-            sig = mix(sig) & np.uint64(0xFFFF)  # b = 16 bits a value
-            keys = np.zeros((len(some), TEXT_CHUNKS, CHUNK_VALUES), dtype=np.uint64)
-            for c in range(TEXT_CHUNKS):
-                for wrong in range(CHUNK_VALUES):
-                    k = np.full(len(some), c * CHUNK_VALUES + wrong + 1, dtype=np.uint64)
-                    for v in range(CHUNK_VALUES):
-                        if v != wrong:
-                            k = k << np.uint64(16) | sig[:, c * CHUNK_VALUES + v]
-                    keys[:, c, wrong] = k
-            flat = keys.reshape(len(some), -1).view(np.int64)
-            short = np.zeros((len(some), 3), dtype=np.uint64)
-            for v in range(values):
-                short[:, v // 16] |= (sig[:, v] & np.uint64(15)) << np.uint64(4 * (v % 16))
-            lists = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * flat.shape[1], flat.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), lists, *(pa.array(short[:, k].view(np.int64)) for k in range(3))], ["id", "keys", "s0", "s1", "s2"])
+        seen = counts.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2_000):
+                b = whole.slice(first, 2_000)
+                ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                h, starts = text_grams(b.column("text").to_pylist(), size)
+                n = np.diff(starts)
+                row = np.repeat(np.arange(len(ids)), n)
+                words = parities(h, row, len(ids))
+                often = seen[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
+                order = np.lexsort((h, often, row))  # one order of pieces for all texts, the rarest first
+                h, often = h[order], often[order]
+                prefix = n - np.ceil(least * n - 1e-6).astype(np.int64) + 1
+                keep = np.flatnonzero((np.arange(len(h)) - starts[row] < prefix[row]) & (often > 1))
+                h, row, blocks = h[keep], row[keep], -(-often[keep] // unit_rows)
+                own = (mix(ids.astype(np.uint64))[row] % blocks.astype(np.uint64)).astype(np.int64)
+                ends = np.cumsum(blocks)
+                low = 0
+                while low < len(h):
+                    high = max(low + 1, int(np.searchsorted(ends, ends[low] - blocks[low] + AT_ONCE, "right")))
+                    part = np.repeat(np.arange(low, high), blocks[low:high])
+                    other, mine, of = _expand(np.zeros(high - low, dtype=np.int64), blocks[low:high]), own[part], row[part]
+                    key = h[part]
+                    for block in (np.minimum(mine, other), np.maximum(mine, other)):
+                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + block.astype(np.uint64) + np.uint64(1))
+                    columns = [key.view(np.int64), np.sign(mine - other).astype(np.int32), ids[of], n[of].astype(np.int32), *words[of].view(np.int64).T]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "side", "id", "n", *(f"w{k}" for k in range(WORDS))])
+                    low = high
 
     return run
 
 
-def _wrong(a: Column, b: Column) -> Column:
-    """Groups of four bits in which two integers differ."""
-    x = a.bitwiseXOR(b)
-    for k in (1, 2):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+def _candidates(least: float):
+    """For ``mapInArrow`` over rows sorted by key: pairs of each unit whose parities don't rule them out."""
+    share = _differ(least)
+
+    def near(words: np.ndarray, half: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs, one by one."""
+        return np.bitwise_count(words[:, i] ^ words[:, j]).sum(0, dtype=np.int32) <= half[i] + half[j]
+
+    def tile(words: np.ndarray, half: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those pairs of ``a`` and ``b``, all with all."""
+        d = np.zeros((len(a), len(b)), dtype=np.uint8)  # all 256 bits wrong count as none, which rules nothing out
+        for w in words:
+            d += np.bitwise_count(w[a][:, None] ^ w[b])
+        i, j = np.nonzero(d <= half[a][:, None] + half[b])
+        return a[i], b[j]
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        key, side, ids, n = (t[c].to_numpy() for c in ("key", "side", "id", "n"))
+        words = np.stack([t[f"w{k}"].to_numpy() for k in range(WORDS)]).view(np.uint64)
+        half = (share * n + 1e-3).astype(np.float32)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        little = sizes < SMALL
+        at = np.flatnonzero(np.repeat(little, sizes))
+        after = np.repeat(starts + sizes, sizes)[at] - at - 1
+        found = []
+        for low in range(0, len(at), AT_ONCE // SMALL):
+            p, m = at[low : low + AT_ONCE // SMALL], after[low : low + AT_ONCE // SMALL]
+            i, j = np.repeat(p, m), _expand(p + 1, m)
+            good = near(words, half, i, j) & ((side[i] != side[j]) | (side[i] == 0))
+            found.append((i[good], j[good]))
+        for start, length in zip(starts[~little], sizes[~little]):
+            rows = np.arange(start, start + length)
+            kinds = [rows[side[start : start + length] == k] for k in (0, -1, 1)]
+            for a, b in ((kinds[0], None), (kinds[1], kinds[2])):
+                for low in range(0, len(a), TILE):
+                    for right in range(low if b is None else 0, len(a if b is None else b), 16 * TILE):
+                        i, j = tile(words, half, a[low : low + TILE], (a if b is None else b)[right : right + 16 * TILE])
+                        found.append((i, j) if b is not None else (i[i < j], j[i < j]))
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        fit = np.abs(n[i] - n[j]) <= half[i] + half[j]  # the numbers of pieces alone can rule a pair out
+        i, j = ids[i[fit]], ids[j[fit]]
+        both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1) if len(i) else np.zeros((2, 0), dtype=np.int64)
+        both = both[:, both[0] != both[1]]
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["id_1", "id_2"])
+
+    def run(batches):
+        held = None  # the last unit, which may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            key = t["key"].to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield pairs(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield pairs(held)
+
+    return run
 
 
 def _jaccard(size: int, least: float):
@@ -317,28 +385,29 @@ def _jaccard(size: int, least: float):
     return run
 
 
-def text_pairs(df: DataFrame, size: int = 4, least: float = 0.70) -> DataFrame:
-    """Pairs of texts whose distinct ``size``-character pieces have a Jaccard similarity of at least ``least``, of ``df``
+def text_pairs(df: DataFrame, size: int = 4, least: float = 0.70, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """All pairs of texts whose distinct ``size``-character pieces have a Jaccard similarity of at least ``least``, of ``df``
     (``id`` long, unique; ``text``, distinct): ``id_1 < id_2``, ``similarity``.
 
-    Each text gets a signature of 40 minwise values of 16 bits, drawn with weights that grow with the rarity of a piece
-    (counted over all texts, in a table of fixed size), so that what all texts share doesn't make candidates.  The
-    signature is split into 10 chunks of 4 values; one wrong value a chunk is allowed and enumerated by leaving each
-    value out.  Pairs with at most 19 of 40 values wrong always meet; of what meets, pairs with more than 28 wrong are dropped
-    and the exact similarity decides on the others.
+    Pieces have one order for all texts, the rarest first (counted over all texts, in a table of fixed size).  Of a text with
+    n pieces a pair must share at least ``least`` * n, so the first n - ceil(``least`` * n) + 1 pieces of both texts have one in
+    common, and texts meet under each piece of this prefix: what all texts share comes last and hardly makes candidates.  The
+    rows of a piece are cut into blocks of about ``unit_rows``, and each pair of blocks is a unit of bounded size.
+
+    A pair may have (1 - ``least``) / (1 + ``least``) of both numbers of pieces not in common.  Candidates that differ in more
+    parity bits, or whose numbers of pieces differ by more, have more of them and are dropped; the exact similarity decides on the
+    others.  Pieces are 64-bit hashes; apart from hashes that collide no pair is missed.
 
     Nulls and texts shorter than a piece are in no pair.
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
     spark = df.sparkSession
     rows = df.where(F.length("text") >= size).select("id", "text")
-    counts = rows.select("text").mapInArrow(_slot_counts(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # 65,537 rows at most
-    seen = np.zeros(SLOTS + 1)
+    counts = rows.select("text").mapInArrow(_slot_counts(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
+    seen = np.zeros(SLOTS, dtype=np.int64)
     seen[[r["slot"] for r in counts]] = [r["n"] for r in counts]
-    rarity, greatest = np.log1p(seen[SLOTS] / np.maximum(seen[:SLOTS], 1)), np.log1p(seen[SLOTS])
-    weights = spark.sparkContext.broadcast(np.clip(rarity - COMMON * greatest, 0.02, max(0.02, RARE * greatest)).astype(np.float32))
-    signed = written(rows.mapInArrow(_signatures(size, weights), "id long, keys array<long>, s0 long, s1 long, s2 long"))
-    pairs = pairs_with_common_key(signed.select(F.explode("keys").alias("key"), "id"))
-    bits = signed.select("id", F.struct("s0", "s1", "s2").alias("bits"))
-    near = with_values(pairs, bits, "bits").where(sum((_wrong(F.col(f"value_1.s{k}"), F.col(f"value_2.s{k}")) for k in range(3)), F.lit(0)) <= MAX_WRONG)
-    pairs = with_values(near.select("id_1", "id_2"), rows, "text")
-    return pairs.mapInArrow(_jaccard(size, least), "id_1 long, id_2 long, similarity double")
+    columns = "key long, side int, id long, n int, " + ", ".join(f"w{k} long" for k in range(WORDS))
+    units = rows.mapInArrow(_prefixes(size, least, unit_rows, spark.sparkContext.broadcast(seen)), columns).repartition("key").sortWithinPartitions("key")
+    pairs = units.mapInArrow(_candidates(least), "id_1 long, id_2 long").distinct()
+    return with_values(pairs, rows, "text").mapInArrow(_jaccard(size, least), "id_1 long, id_2 long, similarity double")

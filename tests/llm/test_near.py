@@ -92,6 +92,28 @@ def test_text_pairs(spark):
     assert hamming.text_pairs(df.where(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("unit", [9, 100, 16_384])
+def test_text_pairs_in_one_folder(spark, unit):
+    r = random.Random(5)
+    name = lambda least, most: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(least, most)))
+    folder = "/Applications/" + "/".join(name(15, 15) for _ in range(6))
+    texts = list(dict.fromkeys([folder + "/" + name(8, 30) for _ in range(150)] + paths(r, 100)))
+    r.shuffle(texts)
+    sets = [grams(t, 4) for t in texts]
+    want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and 10 * len(x & y) >= 7 * len(x | y)}
+    got = [(p.id_1, p.id_2) for p in hamming.text_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), unit_rows=unit).collect()]
+    assert set(got) == want and len(got) == len(want) > 1000
+
+
+@pytest.mark.parametrize("least", [0.3, 0.7, 1.0])
+def test_text_pairs_at_limits(spark, least):
+    r = random.Random(7)
+    texts = list(dict.fromkeys("".join(r.choices("ab", k=r.randint(0, 40))) for _ in range(150)))
+    sets = [grams(t, 4) for t in texts]
+    want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and x and y and len(x & y) / len(x | y) >= least}
+    assert {(p.id_1, p.id_2) for p in hamming.text_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 4, least).collect()} == want
+
+
 def near(algo, x, y):
     return x == y or algo == "ssdeep" and ctph.score(x, y) >= 40 or algo == "tlsh" and tlsh.distance(x, y) <= 40
 
