@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,29 @@ def test_text_pairs_at_limits(spark, least):
     assert {(p.id_1, p.id_2) for p in hamming.text_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 4, least).collect()} == want
 
 
+@pytest.mark.parametrize("rows", [40, 200])  # pairs one by one, and in tiles
+def test_filter_of_text_pairs_drops_none(rows):
+    r = random.Random(rows)
+    name = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    folder = name(110)
+    texts = [folder + name(r.randint(4, 40)) for _ in range(rows // 2)] + [name(r.randint(20, 900)) for _ in range(rows // 4)]
+    texts += [t[: r.randint(len(t) * 7 // 10, len(t))] for t in texts[-(rows // 4) :]]
+    h, starts = hamming.text_grams(texts, 4)
+    n = np.diff(starts)
+    words = hamming.parities(h, np.repeat(np.arange(len(texts)), n), len(texts))
+    sets = [grams(t, 4) for t in texts]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert np.bitwise_count(words[i] ^ words[j]).sum() <= len(x ^ y)
+    for side in (np.zeros(len(texts)), np.where(np.arange(len(texts)) % 2, 1, -1)):
+        columns = [np.full(len(texts), 7), side.astype(np.int32), np.arange(len(texts)), n.astype(np.int32), *words.view(np.int64).T]
+        batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "side", "id", "n", *(f"w{k}" for k in range(4))])
+        cut = rows // 3  # the unit goes on in the next batch
+        got = {(p["id_1"], p["id_2"]) for b in hamming._candidates(0.7)(iter([batch.slice(0, cut), batch.slice(cut)])) for p in b.to_pylist()}
+        want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and 10 * len(x & y) >= 7 * len(x | y) and (not side[i] or side[i] != side[j])}
+        assert want and want <= got < {(i, j) for j in range(len(texts)) for i in range(j)}
+
+
 def near(algo, x, y):
     return x == y or algo == "ssdeep" and ctph.score(x, y) >= 40 or algo == "tlsh" and tlsh.distance(x, y) <= 40
 
