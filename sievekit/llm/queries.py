@@ -74,30 +74,30 @@ def _batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of all batches with their ``status``, batch after batch through the index."""
+    """The rows of all batches with their ``status``, batch after batch through the index; rows without a number are the last batch."""
     index = segments.SegmentIndex(spark)
     known = with_plain(table(spark, d, "known_digest"))
     space = F.when(F.col("scan_mode") == "regular", 0).when(F.col("scan_mode") == "symhash", 1)
     index.add(known.select(space.alias("space"), "algo", "plain"), -1, compare=False)
-    rows = written(_batches(spark, d).where(F.col("batch_no").isNotNull()), by="batch_no")
+    rows = written(_batches(spark, d), by="batch_no")
     cells: dict[int, dict] = {r["batch_no"]: {} for r in rows.select("batch_no").distinct().collect()}
     for r in index.cells(rows, "batch_no").collect():  # 128 rows a batch at most
         cells[r["batch_no"]][r["space"], r["own"]] = r["n"]
-    for b in sorted(cells):
-        index.add(rows.where(F.col("batch_no") == b), b, cells=cells[b])
-    status = index.judged().select("space", F.col("batch").alias("batch_no"), "plain", "status")
-    return rows.join(status, ["space", "batch_no", "plain"])
+    for b in sorted(cells, key=lambda b: (b is None, b)):
+        index.add(rows.where(F.col("batch_no").isNull() if b is None else F.col("batch_no") == b), b, cells=cells[b])
+    s = index.judged().select(F.col("space").alias("s"), "batch", F.col("plain").alias("p"), "status")
+    return rows.join(s, (F.col("space") == F.col("s")) & F.col("batch_no").eqNullSafe(F.col("batch")) & (F.col("plain") == F.col("p"))).drop("s", "batch", "p")
 
 
 @query()
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose digest equals or is near to an accepted one."""
+    """Rows whose digest equals or is near to an accepted one.  Rows with a null batch_no are judged as one batch after all others."""
     return _split(spark, d).where(F.col("status") != segments.NEW).select("table_name", "row_id")
 
 
 @query()
 def p3_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each table and batch by what became of them."""
+    """Rows of each table and batch by what became of them; rows with a null batch_no are the last batch, whose number stays null."""
     return _split(spark, d).groupBy("table_name", "batch_no", "status").agg(F.count("*").alias("n_rows"))
 
 

@@ -94,7 +94,7 @@ class SegmentIndex:
         own = hamming.length_cell(F.col("plain")).alias("own")
         return rows.where((F.col("algo") == "tlsh") & F.col("space").isNotNull() & F.col("plain").isNotNull()).groupBy(*by, "space", own).agg(F.count("*").alias("n"))
 
-    def add(self, rows: DataFrame, batch: int, compare: bool = True, cells: dict[tuple[int, int], int] | None = None) -> DataFrame:
+    def add(self, rows: DataFrame, batch: int | None, compare: bool = True, cells: dict[tuple[int, int], int] | None = None) -> DataFrame:
         """Splits a batch (``space`` int, ``algo``, ``plain``) against what was accepted before it, and appends what is new.
 
         Result: its distinct digests with ``status`` new, equal or near, as in ``judged``.  Digests of one batch aren't compared with each other.
