@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from sievekit import queries
 from sievekit.functions import ctph, tlsh
-from sievekit.operators.matching import first_of_file, match
+from sievekit.operators.matching import first_of_file, match, ssdeep_score, tlsh_distance
 
 
 def frame(spark, digests, name="digest"):
@@ -88,3 +90,12 @@ def test_tlsh(spark, threshold):
 def test_first_of_file(spark):
     df = spark.createDataFrame([(1, 3, "a (x)", "a"), (1, 2, "a (y)", "a"), (2, 1, "b", "b")], "seq long, slice_idx int, path string, file_path string")
     assert sorted((r.slice_idx, r.path) for r in first_of_file(df).collect()) == [(1, "b"), (2, "a")]
+
+
+def test_distances_of_examples(spark):
+    assert "distances_of_examples" not in queries.QUERIES  # it read no table
+    t = "T1" + "A0" * 35
+    rows = spark.createDataFrame([(t, t.lower(), "96:" + "abcdefgh" * 4 + ":" + "abcdefgh" * 2)], "a string, b string, s string")
+    score, distance = ssdeep_score.asNondeterministic(), tlsh_distance.asNondeterministic()
+    got = rows.select(distance("a", "b"), distance(F.lit("invalid"), F.lit("alsobad")), score("s", "s"), score(F.lit("3:abc:def"), F.lit("96:zzz:yyy"))).first()
+    assert tuple(got) == (0, -1, 100, 0)
