@@ -240,7 +240,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     """Score of every document, and whether it counts as toxic."""
     documents = table(spark, d, "documents")
-    return toxicity.score(spread(documents.select("doc_id", "source", "text")), toxicity.train(documents, table(spark, d, "doc_label")))
+    return toxicity.score(spread(documents.select("doc_id", "source", "text")), toxicity.train(spark, documents, table(spark, d, "doc_label")))
 
 
 @query()

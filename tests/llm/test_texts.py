@@ -159,15 +159,15 @@ def forum(seed, n):
     return texts, np.array(toxic)
 
 
-def test_nnpu_finds_toxic_passages():
-    texts, toxic = forum(1, 900)
-    rated = toxic.copy()
+def test_nnpu_finds_toxic_passages(spark):
+    texts, toxic = forum(1, 1800)
+    rated = toxic & (np.arange(1800) < 900)
     r = np.random.default_rng(2)
-    rated[r.random(len(rated)) < 0.03] ^= True  # raters err
-    m = toxicity.fit(texts, rated, np.ones(len(texts), dtype=bool))
+    rated[:900] ^= r.random(900) < 0.03  # raters err
+    m = toxicity.fit(spark, texts, rated, rated & toxic, np.ones(len(texts), dtype=bool))
     fresh, truth = forum(5, 600)
     found = m.score_texts(fresh) >= m.threshold
-    assert (found & truth).sum() >= 0.95 * truth.sum() and (found & ~truth).sum() <= 0.05 * truth.sum() and m.held_out_f1 > 0.7
+    assert (found & truth).sum() >= 0.95 * truth.sum() and (found & ~truth).sum() <= 0.05 * truth.sum() and m.held_out_f1 > 0.7 and abs(m.prior - toxic.mean()) < 0.05
     hidden = ["<b>YOU</b> are a w0rthless m​oron &amp; everybody hаtes you", "f i n d. i will find y[b][/b]ou and brrrreak your n.e.c.k", "long " + "the pan is warm. " * 3000 + TOXIC[1]]
     assert (m.score_texts(hidden) >= m.threshold).all()
     assert m.score_texts([None, "", "!!", "日本語"])[:3].tolist() == [0, 0, 0]
@@ -176,15 +176,32 @@ def test_nnpu_finds_toxic_passages():
 def test_without_toxic_examples(spark):
     docs = spark.createDataFrame([(1, "a b", " Some_Source "), (2, None, None), (2, None, None)], "doc_id long, text string, source string")
     none = spark.createDataFrame([], "doc_id long, rater string, verdict string")
-    rows = toxicity.score(docs, toxicity.train(docs, none)).collect()
+    rows = toxicity.score(docs, toxicity.train(spark, docs, none)).collect()
     assert sorted((r.doc_id, r.source, r.is_toxic) for r in rows if r.source) == [(1, "some-source", False)] and len(rows) == 3
-    assert toxicity.score(docs.where("false"), toxicity.train(docs.where("false"), none)).count() == 0
+    assert toxicity.score(docs.where("false"), toxicity.train(spark, docs.where("false"), none)).count() == 0
 
 
 def test_ratings_count_once(spark):
     docs = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (4, "z")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, "r", "ok"), (1, "r", "ok"), (1, "s", "Abusive "), (2, "r", None), (3, "r", "ok"), (None, "r", "ok"), (4, None, "sexual")], "doc_id long, rater string, verdict string")
-    assert {r.id: (r.bad, r.good) for r in toxicity.rated(docs, labels).collect()} == {1: (1, 1), 4: (1, 0)}
+    assert {r.id: (r.bad, r.good) for r in toxicity.votes(labels).collect()} == {1: (1, 1), 3: (0, 1), 4: (1, 0)}
+    rows = toxicity.training_rows(docs, labels).collect()
+    assert sorted(r.id for r in rows if not r.sampled) == [4] and sorted(r.id for r in rows if r.sampled) == [1, 2, 4]
+    many = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"))
+    assert toxicity.training_rows(many, labels, sample=50).where("sampled").count() == 50
+    assert toxicity.training_rows(many, labels, chars=105).where("sampled").count() == 10
+
+
+def test_prior_and_threshold():
+    r = np.random.default_rng(0)
+    positive, rest = r.normal(3, 1, 2000), r.normal(0, 1, 9500)
+    mixed = np.concatenate([r.normal(3, 1, 500), rest])
+    assert abs(toxicity.class_prior(positive, mixed) - 0.05) < 0.015
+    threshold, prior, f1 = toxicity.best_threshold(positive, mixed)
+    cuts = np.linspace(0, 4, 81)
+    exact = [2 * (mixed[:500] >= c).sum() / (500 + (mixed >= c).sum()) for c in cuts]
+    assert max(exact) - exact[int(np.abs(cuts - threshold).argmin())] < 0.02 and abs(f1 - max(exact)) < 0.06
+    assert toxicity.class_prior(np.zeros(0), mixed) == 0 and toxicity.best_threshold(positive, np.zeros(0))[0] == 0.5
 
 
 @pytest.mark.parametrize("text,want", [("a &amp; b", "a & b"), ("n a k e d now", "naked now"), ("hаte", "hate"), ("w<wbr>o­rd", "word"), ("[quote=x]q[/quote]", "\nq\n"), ("é", "e")])
@@ -193,7 +210,19 @@ def test_clean(text, want):
 
 
 def test_words_and_windows():
-    assert toxicity.words("v3rm1n sooooo 42 i***t") == ["vermin", "so", "0", "i*t"]
-    assert toxicity.passages("ab bc cd. de\nef") == [["ab", "bc", "cd"], ["de"], ["ef"]]
-    long = toxicity.passages(" ".join(f"w{chr(97 + i % 26)}" for i in range(1000)))
-    assert all(len(p) <= toxicity.WINDOW for p in long) and sum(map(len, long)) >= 1000
+    assert [toxicity.plain_word(w) for w in ("v3rm1n", "sooooo", "42", "i***t")] == ["vermin", "so", "0", "i*t"]
+    words = toxicity.Words()
+    p = toxicity.Passages(["ab bc cd. de\nef", None, "", "*** !", " ".join(f"w{chr(97 + i % 26)}" for i in range(1000))], words)
+    names = {k: w for w, k in words.numbers.items()}
+    found = [(d, [names[t] for t in p.token[a:b]]) for d, a, b in zip(p.doc.tolist(), p.low, p.high)]
+    assert found[:3] == [(0, ["ab", "bc", "cd"]), (0, ["de"]), (0, ["ef"])]
+    long = found[3:]
+    assert {d for d, _ in long} == {4} and all(len(w) <= toxicity.WINDOW for _, w in long) and [w[0] for _, w in long] == [f"w{chr(97 + i % 26)}" for i in range(0, 996, 4)]
+
+
+def test_scores_are_those_of_the_rows():
+    p = toxicity.Passages(["the pan is warm. no", "you are a worthless m*ron today and the pan fits, it does", "x"])
+    rows, weights = toxicity.Rows(p), np.random.default_rng(1).normal(size=toxicity.SLOTS)
+    slots, owner = rows.take(np.arange(len(p)))
+    slow = np.bincount(owner, weights=weights[slots]) / np.sqrt(np.bincount(owner)) + 0.5
+    assert np.allclose(p.scores(weights, 0.5), slow) and (np.bincount(owner) == p.sizes).all()
