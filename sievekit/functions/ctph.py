@@ -10,6 +10,7 @@ import numpy as np
 
 WINDOW = 7
 PIECE = 5  # characters of a key; three of them lie in a window
+SEGMENT = 6  # characters of a stored segment; two of them lie in a window
 MIN_BLOCK = 3
 MAX_FIRST, MAX_SECOND = 64, 32
 MAX_BYTES = 1 << 32
@@ -205,6 +206,43 @@ def window_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(both[:, 1]).view(np.int64), both[:, 0].astype(np.int64)
 
 
+def segment_keys(texts: list[str], spaces: np.ndarray, step: int) -> dict[str, np.ndarray]:
+    """Hashed segments of ``SEGMENT`` characters at every ``step``-th place of both shortened signatures of each digest: ``row`` of the
+    text, ``key`` (space and block size are part of it), ``length`` of the signature and ``at``, the place.
+
+    Of a window of seven characters two segments of six begin in it, one of them at an even place: a digest stored with step 2 and
+    one that asks with step 1 meet under every window that both have.  A first signature too short for a window is one
+    segment, as only an equal one scores.
+    """
+    rows, sigs, blocks, whole = [], [], [], []
+    for i, t in enumerate(texts):
+        p = parse(t)
+        if p:
+            if len(p[1]) < WINDOW:
+                whole.append((i, p[0], int.from_bytes(p[1].encode("latin-1", "replace"), "big") << 8 | len(p[1])))
+            for s, block in ((p[1], p[0]), (p[2], 2 * p[0])):
+                if len(s) >= WINDOW:
+                    rows.append(i)
+                    sigs.append(s)
+                    blocks.append(block)
+    a, n = _matrix(sigs)
+    row, wide = np.array(rows, dtype=np.int64), a.astype(np.uint64)
+    base = lambda at, block: mix(mix(np.array(block, dtype=np.uint64)) + spaces[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    grams = np.zeros((len(a), 64 - SEGMENT + 1), dtype=np.uint64)
+    for k in range(SEGMENT):
+        grams = grams << np.uint64(8) | wide[:, k : k + grams.shape[1]]
+    grams = mix(grams + base(row, blocks)[:, None])[:, ::step]
+    of, place = np.nonzero(np.arange(0, 64 - SEGMENT + 1, step)[None, :] + SEGMENT <= n[:, None])
+    w = np.array(whole, dtype=np.uint64).reshape(-1, 3)
+    first = w[:, 0].astype(np.int64)
+    return {
+        "row": np.concatenate([row[of], first]),
+        "key": np.concatenate([grams[of, place], mix(w[:, 2] + base(first, w[:, 1]) + np.uint64(1))]).view(np.int64),
+        "length": np.concatenate([n[of], (w[:, 2] & np.uint64(255)).astype(np.int64)]).astype(np.int32),
+        "at": np.concatenate([place * step, np.zeros(len(w), dtype=np.int64)]).astype(np.int32),
+    }
+
+
 def signature_scores(a: list[str], b: list[str], block: np.ndarray) -> np.ndarray:
     """Score of each pair of shortened signatures of one block size."""
     out = np.zeros(len(a), dtype=np.int64)
