@@ -145,6 +145,11 @@ def length_cell(plain: Column) -> Column:
     return F.floor(F.conv(F.reverse(F.substring(plain, 5, 2)), 16, 10).cast("int") / CELL_WIDTH).cast("int")
 
 
+def tlsh_rows(df: DataFrame) -> DataFrame:
+    """``df`` without what is no tlsh digest, with its digits ``sig`` and its cell ``own``."""
+    return df.where(F.col("plain").rlike("^T1[0-9A-F]{70}$")).withColumns({"sig": F.substring("plain", 3, 70), "own": length_cell(F.col("plain"))})
+
+
 def tlsh_pairs(df: DataFrame, limit: int = 40, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """All pairs of TLSH digests within ``limit`` of ``df`` (``id`` long, unique; ``plain``, distinct plain forms).
 
@@ -158,7 +163,7 @@ def tlsh_pairs(df: DataFrame, limit: int = 40, unit_rows: int = UNIT_ROWS) -> Da
     if not 0 <= limit <= GREATEST_LIMIT:
         raise ValueError(f"limit must be 0 to {GREATEST_LIMIT}")
     cells = CELLS
-    rows = df.where(F.col("plain").rlike("^T1[0-9A-F]{70}$")).select("id", F.substring("plain", 3, 70).alias("sig"), length_cell(F.col("plain")).alias("own"))
+    rows = tlsh_rows(df).select("id", "sig", "own")
     counts = {r["own"]: r["n"] for r in rows.groupBy("own").agg(F.count("*").alias("n")).collect()}  # 64 rows at most
     blocks = [max(1, math.ceil(counts.get(c, 0) / unit_rows)) for c in range(cells)]
     of = lambda cell: F.element_at(F.array(*map(F.lit, blocks)), F.pmod(cell, F.lit(cells)) + 1)

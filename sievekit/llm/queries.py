@@ -62,6 +62,7 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
 # ---- 3: new batches against all history
 
 _SPACES = {"digest_result": "regular", "symhash_result": "symhash"}
+HOT_DIGESTS = 1_000
 
 
 def _batches(spark: SparkSession, d: str) -> DataFrame:
@@ -80,13 +81,16 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     space = F.when(F.col("scan_mode") == "regular", 0).when(F.col("scan_mode") == "symhash", 1)
     index.add(known.select(space.alias("space"), "algo", "plain"), -1, compare=False)
     rows = written(_batches(spark, d), by="batch_no")
-    cells: dict[int, dict] = {r["batch_no"]: {} for r in rows.select("batch_no").distinct().collect()}
-    for r in index.cells(rows, "batch_no").collect():  # 128 rows a batch at most
-        cells[r["batch_no"]][r["space"], r["own"]] = r["n"]
-    for b in sorted(cells, key=lambda b: (b is None, b)):
-        index.add(rows.where(F.col("batch_no").isNull() if b is None else F.col("batch_no") == b), b, cells=cells[b])
-    s = index.judged().select(F.col("space").alias("s"), "batch", F.col("plain").alias("p"), "status")
-    return rows.join(s, (F.col("space") == F.col("s")) & F.col("batch_no").eqNullSafe(F.col("batch")) & (F.col("plain") == F.col("p"))).drop("s", "batch", "p")
+    numbers = [r[0] for r in rows.select("batch_no").distinct().collect()]  # a row a batch
+    for b in sorted(numbers, key=lambda b: (b is None, b)):
+        index.add(rows.where(F.col("batch_no").isNull() if b is None else F.col("batch_no") == b), b)
+    judged = index.judged().select(F.col("space").alias("s"), "batch", F.col("plain").alias("p"), "status", "n")
+    # Digests with a thousandth of the rows or more, so at most a thousand, are joined where their rows lie.
+    hot = F.col("n") * HOT_DIGESTS >= rows.count()
+    same = (F.col("space") == F.col("s")) & F.col("batch_no").eqNullSafe(F.col("batch")) & (F.col("plain") == F.col("p"))
+    at_once = rows.join(F.broadcast(judged.where(hot)), same, "left")
+    rest = at_once.where("status IS NULL").select(*rows.columns).join(judged.where(~hot), same)
+    return at_once.where("status IS NOT NULL").unionByName(rest).drop("s", "batch", "p", "n")
 
 
 @query()

@@ -1,19 +1,26 @@
-"""Deduplicating new batches against all accepted digests, with an index that grows by appending.
-
-The index is a folder with one table a batch.  An accepted ssdeep digest is stored with its segments: consecutive pieces
-of four characters, as many as its length gives, each with its position, the length and the block size.  Whatever scores
-above 0 has seven characters in a row in common with the digest, and seven characters always cover a whole
-segment; so a batch probes its substrings of four characters, and verifies the bounded edit distance of what it finds.
-tlsh digests have one length, so their segments are the chunks at fixed positions, probed with the errors that
-the limit allows.  A batch reads the index by segment and never compares itself with all accepted digests.
+"""Deduplicating new batches against all accepted digests, with an index on disk that grows by appending.
+
+The index is a folder of three tables, each in buckets that are folders of their own, so that a batch reads the buckets it asks
+and no others, and a manifest with one row a batch, written last: what isn't in it doesn't count, so a batch that
+fails halfway leaves no trace, and an index can be opened again from its folder alone.
+
+``digests``: accepted digests by hash.  ``segments``: the segments of accepted ssdeep digests, a fixed number for each length of signature:
+six characters at every second place, with place and length.  Whatever scores above 0 has seven characters in a row in
+common with a digest, and two segments begin in each such window, one of them at an even place; so a batch asks for its
+substrings of six characters, and verifies the bounded edit distance of what it finds.  ``chunks``: accepted tlsh digests by the cell
+of their length byte; they have one length, so their segments are the chunks at fixed positions, probed with the errors that
+the limit allows.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,161 +28,200 @@ from sievekit.functions import ctph
 from sievekit.llm import hamming
 from sievekit.session import shared_folder
 
-SEGMENT = 4
-NEW, EQUAL, NEAR = "new", "equal", "near"
-_SEGMENTS = "array<struct<key: bigint, length: int, at: int>>"
-_SCHEMA = f"batch int, space int, algo string, plain string, id bigint, status string, segments {_SEGMENTS}"
+STORED_STEP, ASKED_STEP = 2, 1
+NEW, NEAR, EQUAL = "new", "near", "equal"
+STATUS = [NEW, NEAR, EQUAL]
+BUCKETS = 16
+CELL_BUCKETS = 32
+_JUDGED = "batch int, space int, algo string, plain string, n long, id long, status string"
+_TABLES = {
+    "digests": "commit long, space int, algo string, plain string, id long, bucket int",
+    "segments": "commit long, key long, length int, at int, id long, bucket int",
+    "chunks": "commit long, cell int, sig string, id long, bucket int",
+}
+_MANIFEST = "number int, commit long, buckets int, cells array<struct<cell: int, n: bigint>>, path string"
 
 
-def _signatures(plain: Column) -> list[tuple[Column, Column]]:
-    """Block size and shortened signature, of both signatures of an ssdeep digest."""
-    parts = F.split(plain, ":")
-    short = lambda k: F.regexp_replace(F.element_at(parts, k), r"(.)\1{3,}", "$1$1$1")
-    block = F.element_at(parts, 1).cast("long")
-    return [(block, short(2)), (2 * block, short(3))]
+def _segments(step: int):
+    """For ``mapInArrow`` over ``id``, ``space``, ``plain``: ``key``, ``length``, ``at``, ``id`` of each segment."""
 
+    def run(batches):
+        for b in batches:
+            s = ctph.segment_keys(b.column("plain").to_pylist(), b.column("space").to_numpy(zero_copy_only=False).astype(np.int64), step)
+            ids = b.column("id").to_numpy(zero_copy_only=False)[s["row"]]
+            yield pa.RecordBatch.from_arrays([pa.array(s["key"]), pa.array(s["length"]), pa.array(s["at"]), pa.array(ids)], ["key", "length", "at", "id"])
 
-def _pieces(space: Column, plain: Column, step: int) -> Column:
-    """Pieces of four characters at every ``step``-th position of both signatures.
-
-    A first signature too short for a window is one piece: only an equal one scores.
-    """
-
-    def of(block: Column, sig: Column, is_first: bool) -> Column:
-        n = F.length(sig)
-        piece = lambda i: F.struct(F.xxhash64(space, block, F.substr(sig, i + 1, F.lit(SEGMENT))).alias("key"), n.alias("length"), i.alias("at"))
-        whole = F.struct(F.xxhash64(space, block, sig, F.lit("whole")).alias("key"), n.alias("length"), F.lit(0).alias("at"))
-        short = F.array(whole) if is_first else F.array().cast(_SEGMENTS)
-        return F.when(n >= ctph.WINDOW, F.transform(F.sequence(F.lit(0), n - SEGMENT, F.lit(step)), piece)).otherwise(short)
+    return run
 
-    return F.concat(*(of(*s, k == 0) for k, s in enumerate(_signatures(plain))))
 
+def _verified(least: int):
+    """For ``mapInArrow`` over ``id``, ``value_1``, ``value_2``: ids with their rank where the values are equal or score enough."""
 
-def _near_scores(least: int):
     def run(batches):
         for b in batches:
-            s = ctph.scores(b.column("value_1").to_pylist(), b.column("value_2").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("id_1")], ["id"]).filter(pa.array(s >= least))
+            ids, x, y = b.column("id"), b.column("value_1").to_pylist(), b.column("value_2").to_pylist()
+            rank = np.array([2 if p == q else 0 for p, q in zip(x, y)], dtype=np.int32)
+            other = np.flatnonzero(rank == 0)
+            rank[other] = ctph.scores([x[i] for i in other], [y[i] for i in other]) >= least
+            yield pa.RecordBatch.from_arrays([ids, pa.array(rank)], ["id", "rank"]).filter(pa.array(rank > 0))
 
     return run
 
 
-def _blocks(counts: dict[tuple[int, int], int], cell: Column) -> Column:
-    """Blocks of a space's cell; only cells of more than one are named in the plan."""
-    many = {space * hamming.CELLS + c: math.ceil(n / hamming.UNIT_ROWS) for (space, c), n in counts.items() if n > hamming.UNIT_ROWS}
-    if not many:
-        return F.lit(1)
-    names = F.create_map(*(F.lit(x) for kv in many.items() for x in kv))
-    return F.coalesce(F.try_element_at(names, F.col("space") * hamming.CELLS + cell), F.lit(1))
-
-
 class SegmentIndex:
-    """Accepted digests of several spaces (numbers that say what is compared with what), on disk.
+    """Accepted digests of several spaces (numbers that say what is compared with what), on disk; ``folder`` may hold an index already.
 
     ``least``: smallest ssdeep score, ``limit``: greatest tlsh distance that count as near; other algorithms: equal only.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, least: int = 40, limit: int = 40) -> None:
-        self.spark, self.folder, self.least, self.limit = spark, folder or shared_folder(spark), least, limit
-        self.tables: list[str] = []
-        self.stored: dict[tuple[int, int], int] = {}  # rows at most in each cell of tlsh lengths
+    def __init__(self, spark: SparkSession, folder: str | None = None, least: int = 40, limit: int = 40, buckets: int = BUCKETS) -> None:
+        self.spark, self.folder, self.least, self.limit, self.buckets = spark, folder or shared_folder(spark), least, limit, buckets
+        self.commits: list[int] = []
+        self.judged_at: list[str] = []
+        self.stored: dict[int, int] = {}  # tlsh digests in each cell
+        try:
+            known = spark.read.schema(_MANIFEST).parquet(f"{self.folder}/manifest").orderBy("number").collect()  # one row a batch
+        except AnalysisException:
+            known = []
+            for name, schema in _TABLES.items():
+                spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        for r in known:
+            self.buckets = r["buckets"]
+            self._count_in(r["commit"], r["path"], {c["cell"]: c["n"] for c in r["cells"]})
+
+    def _count_in(self, commit: int, path: str, cells: dict[int, int]) -> None:
+        self.commits.append(commit)
+        self.judged_at.append(path)
+        for c, n in cells.items():
+            self.stored[c] = self.stored.get(c, 0) + n
+
+    def _read(self, name: str, buckets: list[int]) -> DataFrame:
+        """Committed rows of those buckets; the others aren't read."""
+        rows = self.spark.read.schema(_TABLES[name]).parquet(f"{self.folder}/{name}")
+        return rows.where(F.col("bucket").isin(buckets) & F.col("commit").isin(self.commits)).drop("commit", "bucket")
+
+    def _append(self, name: str, rows: DataFrame, commit: int) -> None:
+        columns = [c.split()[0] for c in _TABLES[name].split(", ")]
+        rows = rows.withColumn("commit", F.lit(commit)).select(*columns)
+        rows.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/{name}")
 
     def accepted(self) -> DataFrame:
-        """All accepted digests with their segments."""
-        return self.judged().where(F.col("status") == NEW)
+        """All accepted digests: ``space``, ``algo``, ``plain``, ``id``."""
+        return self._read("digests", list(range(self.buckets)))
 
     def judged(self) -> DataFrame:
-        """The distinct digests of all batches so far: ``batch``, ``space``, ``algo``, ``plain``, ``id``, ``status``, ``segments``."""
-        return self.spark.read.schema(_SCHEMA).parquet(*self.tables) if self.tables else self.spark.createDataFrame([], _SCHEMA)
+        """The distinct digests of all batches so far: ``batch``, ``space``, ``algo``, ``plain``, ``n`` rows, ``id``, ``status``."""
+        paths = [f"{self.folder}/{p}" for p in self.judged_at]
+        return self.spark.read.schema(_JUDGED).parquet(*paths) if paths else self.spark.createDataFrame([], _JUDGED)
 
-    @staticmethod
-    def cells(rows: DataFrame, *by: str) -> DataFrame:
-        """Rows of tlsh digests in each cell of lengths: ``by``, ``space``, ``own``, ``n``; 64 rows a space at most."""
-        own = hamming.length_cell(F.col("plain")).alias("own")
-        return rows.where((F.col("algo") == "tlsh") & F.col("space").isNotNull() & F.col("plain").isNotNull()).groupBy(*by, "space", own).agg(F.count("*").alias("n"))
+    def _bucket(self, of: Column) -> Column:
+        return F.pmod(of, F.lit(self.buckets)).cast("int")
 
-    def add(self, rows: DataFrame, batch: int | None, compare: bool = True, cells: dict[tuple[int, int], int] | None = None) -> DataFrame:
+    def add(self, rows: DataFrame, batch: int | None, compare: bool = True) -> DataFrame:
         """Splits a batch (``space`` int, ``algo``, ``plain``) against what was accepted before it, and appends what is new.
 
-        Result: its distinct digests with ``status`` new, equal or near, as in ``judged``.  Digests of one batch aren't compared with each other.
-        Null digests are left out; an empty batch gives no rows and accepts nothing.  Without ``compare`` all are accepted.
-        ``cells``: rows of tlsh digests by space and cell, at least as many as there are, if they have been counted already.
+        Result: its distinct digests with ``n`` rows and ``status`` new, equal or near, as in ``judged``.  Digests of one batch aren't
+        compared with each other.  Null digests and spaces are left out; an empty batch gives no rows and accepts nothing.  Without
+        ``compare`` all are accepted.  Digests are told apart by 64-bit hashes.
         """
-        name = f"{len(self.tables):06d}"
-        kept = rows.where(F.col("plain").isNotNull() & F.col("space").isNotNull()).select("space", "algo", "plain", F.lit(1).alias("seen"))
-        is_open = compare and bool(self.tables)
-        if is_open:
-            kept = kept.unionByName(self.accepted().select("space", "algo", "plain", F.lit(2).alias("seen")))
+        commit = uuid.uuid4().int >> 65
+        at = lambda name: f"{self.folder}/{name}-{commit:016x}"
         # One row a digest, counted on the map side first: a digest that fills the batch is one row a map task.
-        fresh = kept.groupBy("space", "algo", "plain").agg(F.bit_or("seen").alias("seen")).where(F.col("seen").bitwiseAND(F.lit(1)) == 1)
-        fresh = fresh.select("space", "algo", "plain", F.xxhash64("space", "plain").alias("id"), (F.col("seen") == 3).alias("is_equal"))
-        if is_open:
-            fresh.write.parquet(f"{self.folder}/fresh-{name}")
-            fresh = self.spark.read.schema(fresh.schema).parquet(f"{self.folder}/fresh-{name}")
-        if cells is None:
-            cells = {(r["space"], r["own"]): r["n"] for r in self.cells(fresh).collect()}
-        if is_open:
-            old, asked = self.accepted(), fresh.where(~F.col("is_equal"))
-            near = self._near_ssdeep(asked, old).unionByName(self._near_tlsh(asked, old, cells))
-            parts = [(fresh.where("is_equal"), EQUAL), (asked.join(near, "id", "left_semi"), NEAR), (asked.join(near, "id", "left_anti"), NEW)]
-        else:
-            parts = [(fresh, NEW)]
-        columns = ["space", "algo", "plain", "id"]
-        judged = [p.select(F.lit(batch).cast("int").alias("batch"), *columns, F.lit(status).alias("status"), self._stored(status)) for p, status in parts]
-        path = f"{self.folder}/batch-{name}"
-        reduce(DataFrame.unionByName, judged).write.parquet(path)
-        self.tables.append(path)
-        for k, n in cells.items():
-            self.stored[k] = self.stored.get(k, 0) + n
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of this batch
-        return self.spark.read.schema(_SCHEMA).parquet(path)
+        fresh = rows.where(F.col("plain").isNotNull() & F.col("space").isNotNull()).groupBy("space", "algo", "plain").agg(F.count("*").alias("n"))
+        fresh.withColumn("id", F.xxhash64("space", "plain")).write.parquet(at("fresh"))
+        fresh = self.spark.read.schema("space int, algo string, plain string, n long, id long").parquet(at("fresh"))
+        found = self._found(fresh, at("pairs")) if compare and self.commits else []
+        rank = fresh.select("*", F.lit(0).alias("rank"))
+        for f in found:
+            rank = rank.unionByName(f, allowMissingColumns=True)
+        # Equal goes before near, near before new.
+        best = rank.groupBy("id").agg(*(F.max(c).alias(c) for c in ("space", "algo", "plain", "n", "rank")))
+        status = F.element_at(F.array(*map(F.lit, STATUS)), F.col("rank") + 1)
+        path = f"judged-{commit:016x}"
+        best.select(F.lit(batch).cast("int").alias("batch"), "space", "algo", "plain", "n", "id", status.alias("status")).write.parquet(f"{self.folder}/{path}")
+        judged = self.spark.read.schema(_JUDGED).parquet(f"{self.folder}/{path}")
+        new = judged.where(F.col("status") == NEW)
+        tlsh = hamming.tlsh_rows(new.where(F.col("algo") == "tlsh")).withColumn("cell", F.col("space") * hamming.CELLS + F.col("own"))
+        parts = {
+            "digests": new.withColumn("bucket", self._bucket(F.col("id"))),
+            "segments": self._asked(new, STORED_STEP).withColumn("bucket", self._bucket(F.col("key"))),
+            "chunks": tlsh.withColumn("bucket", F.pmod("cell", F.lit(CELL_BUCKETS))),
+        }
+        with ThreadPoolExecutor(len(parts) + 1) as pool:
+            count = pool.submit(lambda: {r["cell"]: r["n"] for r in tlsh.groupBy("cell").agg(F.count("*").alias("n")).collect()})  # 64 rows a space at most
+            for done in [pool.submit(self._append, name, df, commit) for name, df in parts.items()]:
+                done.result()
+            cells = count.result()
+        counted = F.array(*(F.struct(F.lit(c), F.lit(n)) for c, n in cells.items())).cast("array<struct<cell: int, n: bigint>>")
+        row = zip((F.lit(len(self.commits)), F.lit(commit), F.lit(self.buckets), counted, F.lit(path)), ("number", "commit", "buckets", "cells", "path"))
+        self.spark.range(0, 1, 1, 1).select(*(c.alias(name) for c, name in row)).write.mode("append").parquet(f"{self.folder}/manifest")
+        self._count_in(commit, path, cells)
+        return judged
 
     @staticmethod
-    def _stored(status: str) -> Column:
-        """Segments of the ssdeep digests that are accepted."""
-        pieces = _pieces(F.col("space"), F.col("plain"), SEGMENT) if status == NEW else F.lit(None)
-        return F.when(F.col("algo") == "ssdeep", pieces).cast(_SEGMENTS).alias("segments")
-
-    def _near_ssdeep(self, fresh: DataFrame, old: DataFrame) -> DataFrame:
-        is_ssdeep = F.col("algo") == "ssdeep"
-        asked, known = fresh.where(is_ssdeep), old.where(is_ssdeep)
-        probes = asked.select(F.col("id").alias("id_1"), F.explode(_pieces(F.col("space"), F.col("plain"), 1)).alias("p")).select("id_1", "p.key", F.col("p.length").alias("m"))
-        index = known.select(F.col("id").alias("id_2"), F.explode("segments").alias("s")).select("id_2", "s.key", F.col("s.length").alias("n"))
-        # The least edit distance of two lengths is their difference; beyond the bound the score is too low.
-        bound = (F.abs(F.col("m") - F.col("n")) * 64) < (F.col("m") + F.col("n")) * math.ceil(64 * (101 - self.least) / 100)
-        # Partitioned by one id, pairs need no further exchange to become distinct and to get its text.
-        pairs = probes.join(index, "key").where(bound).select("id_1", "id_2").repartition("id_1").distinct()
-        texts = lambda df, i: df.select(F.col("id").alias(f"id_{i}"), F.col("plain").alias(f"value_{i}"))
-        both = pairs.join(texts(asked, 1), "id_1").join(texts(known, 2), "id_2")
-        return both.select("id_1", "value_1", "value_2").mapInArrow(_near_scores(self.least), "id long")
-
-    def _near_tlsh(self, fresh: DataFrame, old: DataFrame, counts: dict[tuple[int, int], int]) -> DataFrame:
-        """Digests meet the accepted ones of their cell and of both next ones, cut into blocks where a cell is large."""
-        stored = dict(self.stored)
-        cell = hamming.length_cell(F.col("plain"))
-        home = lambda df, of: (
-            df.where(F.col("algo") == "tlsh")
-            .select("space", "id", F.substring("plain", 3, 70).alias("sig"), cell.alias("own"))
-            .withColumn("mine", F.pmod(F.xxhash64("id"), _blocks(of, F.col("own"))).cast("int"))
-        )
-        around = F.explode(F.array(*(F.pmod(F.col("own") + k, F.lit(hamming.CELLS)).cast("int") for k in (-1, 0, 1))))
-        left = (
-            home(fresh, counts)
-            .select("space", "id", "sig", "own", F.col("mine").alias("a"), around.alias("cell"))
-            .select("*", F.explode(F.sequence(F.lit(0), _blocks(stored, F.col("cell")) - 1)).alias("b"), F.lit(True).alias("is_left"))
-        )
-        right = (
-            home(old, stored)
-            .select("space", "id", "sig", F.col("own").alias("cell"), F.col("mine").alias("b"), around.alias("near"))
-            .withColumnRenamed("near", "own")
-            .select("*", F.explode(F.sequence(F.lit(0), _blocks(counts, F.col("own")) - 1)).alias("a"), F.lit(False).alias("is_left"))
-        )
+    def _asked(df: DataFrame, step: int) -> DataFrame:
+        """Segments of the ssdeep digests."""
+        return df.where(F.col("algo") == "ssdeep").select("id", "space", "plain").mapInArrow(_segments(step), "key long, length int, at int, id long")
+
+    def _found(self, fresh: DataFrame, pairs_at: str) -> list[DataFrame]:
+        """``id``, ``rank`` of the digests of ``fresh`` that equal (2) or are near to (1) accepted ones, each once or more."""
+        asked = self._asked(fresh, ASKED_STEP)
+        tlsh = hamming.tlsh_rows(fresh.where(F.col("algo") == "tlsh")).withColumn("cell", F.col("space") * hamming.CELLS + F.col("own"))
+        kinds = [(0, fresh.select(self._bucket(F.col("id")).alias("at"))), (1, asked.select(self._bucket(F.col("key")).alias("at"))), (2, tlsh.select(F.col("cell").alias("at")))]
+        both = [df.select(F.lit(k).alias("kind"), "at") for k, df in kinds]
+        counts = both[0].unionByName(both[1]).unionByName(both[2]).groupBy("kind", "at").agg(F.count("*").alias("n")).collect()  # a row a bucket or cell
+        of = lambda k: {r["at"]: r["n"] for r in counts if r["kind"] == k}
+        by_id, by_key, cells = of(0), of(1), of(2)
+        found = []
+        wanted = fresh.select("id", F.col("plain").alias("value_1"), F.col("id").alias("want"))
+        if by_key:
+            n, m = F.col("length"), F.col("asked_length")
+            # The least edit distance of two lengths is their difference; beyond the bound the score is too low.
+            bound = (F.abs(m - n) * 64) < (m + n) * math.ceil(64 * (101 - self.least) / 100)
+            stored = self._read("segments", list(by_key)).select("key", "length", F.col("id").alias("want"))
+            pairs = asked.select("key", F.col("length").alias("asked_length"), "id").join(stored, "key").where(bound)
+            pairs.select("id", "want").distinct().write.parquet(pairs_at)
+            pairs = self.spark.read.schema("id long, want long").parquet(pairs_at)
+            for r in pairs.select(self._bucket(F.col("want")).alias("at")).distinct().collect():
+                by_id.setdefault(r["at"], 0)
+            wanted = wanted.unionByName(pairs.join(fresh.select("id", F.col("plain").alias("value_1")), "id"))
+        known = self._read("digests", list(by_id)).select(F.col("id").alias("want"), F.col("plain").alias("value_2"))
+        found.append(wanted.join(known, "want").select("id", "value_1", "value_2").mapInArrow(_verified(self.least), "id long, rank int"))
+        if cells:
+            found.append(self._near_tlsh(tlsh, cells).withColumn("rank", F.lit(1)))
+        return found
+
+    def _near_tlsh(self, asked: DataFrame, counts: dict[int, int]) -> DataFrame:
+        """Digests go to the stored ones of their cell and of both next ones; a cell of many on either side is cut into blocks."""
+        turn = lambda c, k: c // hamming.CELLS * hamming.CELLS + (c + k) % hamming.CELLS
+        arriving: dict[int, int] = {}
+        for c, n in counts.items():
+            for k in (-1, 0, 1):
+                arriving[turn(c, k)] = arriving.get(turn(c, k), 0) + n
+        cells = sorted(set(arriving) & set(self.stored))
+        if not cells:
+            return self.spark.createDataFrame([], "id long")
+        # Blocks of a cell; only cells of more than one are named in the plan.
+        blocks = lambda sizes, cell: self._blocks({c: math.ceil(sizes[c] / hamming.UNIT_ROWS) for c in cells}, cell)
+        own, cell = F.col("own"), F.col("cell")
+        around = F.explode(F.array(*((F.col("space") * hamming.CELLS + F.pmod(own + k, F.lit(hamming.CELLS))).cast("int") for k in (-1, 0, 1))))
+        left = asked.select("id", "sig", around.alias("cell")).where(cell.isin(cells))
+        left = left.select("*", F.pmod(F.xxhash64("id"), blocks(arriving, cell)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), blocks(self.stored, cell) - 1)).alias("b"), F.lit(True).alias("is_left"))
+        right = self._read("chunks", sorted({c % CELL_BUCKETS for c in cells})).where(cell.isin(cells))
+        right = right.select("id", "sig", "cell", F.explode(F.sequence(F.lit(0), blocks(arriving, cell) - 1)).alias("a"), F.pmod(F.xxhash64("id"), blocks(self.stored, cell)).cast("int").alias("b"), F.lit(False).alias("is_left"))
         key = ["cell", "a", "step", "b"]
         return (
             left.unionByName(right)
-            .select((F.col("space") * hamming.CELLS + F.col("cell")).alias("cell"), "a", F.col("own").alias("step"), "b", "is_left", "id", "sig")
+            .withColumn("step", F.lit(0))
             .repartition(*key)
             .sortWithinPartitions(*key)
             .mapInArrow(hamming.join_units(self.limit, two_sides=True), hamming.PAIR)
             .select(F.col("id_1").alias("id"))
         )
+
+    @staticmethod
+    def _blocks(counts: dict[int, int], cell: Column) -> Column:
+        many = {c: n for c, n in counts.items() if n > 1}
+        if not many:
+            return F.lit(1)
+        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in many.items() for x in kv)), cell), F.lit(1))

@@ -168,3 +168,55 @@ def test_segment_index_of_nothing(spark, tmp_path):
     index = SegmentIndex(spark, str(tmp_path / "index"))
     none = spark.createDataFrame([], "space int, algo string, plain string")
     assert index.accepted().count() == 0 and index.add(none, 0).count() == 0 and index.add(none, 1).count() == 0
+
+
+def test_segment_index_is_opened_again(spark, tmp_path):
+    r = random.Random(5)
+    digests = [("ssdeep", t) for t in some_digests(r, 12)] + [("tlsh", t) for t in tlsh_family(r, 3, 3)] + [("md5", "%032x" % k) for k in range(9)]
+    frame = lambda part: spark.createDataFrame([(0, *d) for d in part], "space int, algo string, plain string")
+    one, two = SegmentIndex(spark, str(tmp_path / "a"), buckets=5), SegmentIndex(spark, str(tmp_path / "b"), buckets=5)
+    for index in (one, two):
+        index.add(frame(digests[::2]), 0)
+    two = SegmentIndex(spark, str(tmp_path / "b"))  # from its folder alone
+    assert two.buckets == 5 and two.stored == one.stored and two.accepted().count() == one.accepted().count()
+    answers = [{(x.plain, x.status) for x in index.add(frame(digests), 1).collect()} for index in (one, two)]
+    assert answers[0] == answers[1] and len(answers[0]) == len(set(digests))
+    # What a failed batch left behind doesn't count.
+    rest = spark.createDataFrame([(7, 0, "md5", "ff" * 16, 1, 0)], "commit long, space int, algo string, plain string, id long, bucket int")
+    rest.write.mode("append").partitionBy("bucket").parquet(str(tmp_path / "b" / "digests"))
+    assert SegmentIndex(spark, str(tmp_path / "b")).accepted().count() == one.accepted().count()
+    assert [x.status for x in SegmentIndex(spark, str(tmp_path / "b")).add(frame([("md5", "ff" * 16)]), 2).collect()] == ["new"]
+
+
+def rows_read(spark, df):
+    """Rows that the scans of a plan gave."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        p = p.executedPlan() if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else p
+        while p.getClass().getSimpleName().endswith("QueryStageExec"):
+            p = p.plan()
+        if p.getClass().getSimpleName() == "FileSourceScanExec":
+            total += p.metrics().apply("numOutputRows").value()
+        children = p.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.mark.parametrize("batches", [3, 9])
+def test_batch_reads_the_buckets_it_asks_only(spark, tmp_path, batches):
+    index = SegmentIndex(spark, str(tmp_path / "index"), buckets=8)
+    frame = lambda part: spark.createDataFrame([(0, "md5", p) for p in part], "space int, algo string, plain string")
+    bucket = {r.plain: r.b for r in frame(f"{k:032x}" for k in range(800)).select("plain", index._bucket(F.xxhash64("space", "plain")).alias("b")).collect()}
+    of = lambda b: [p for p in bucket if bucket[p] == b]
+    index.add(frame(of(3)[:40]), 0)
+    others = [p for p in bucket if bucket[p] != 3]
+    for k in range(batches):
+        index.add(frame(others[50 * k : 50 * k + 50]), 1 + k)
+    assert index.accepted().count() == 40 + 50 * batches
+    fresh = index.add(frame([]), 99)  # an empty batch, for the columns
+    asked = frame(of(3)[35:45]).select("space", "algo", "plain", F.lit(1).cast("long").alias("n"), F.xxhash64("space", "plain").alias("id"))
+    assert fresh.count() == 0
+    (found,) = index._found(asked, str(tmp_path / "pairs"))
+    assert rows_read(spark, found) == 40 and found.count() == 5
