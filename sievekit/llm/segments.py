@@ -1,8 +1,9 @@
 """Deduplicating new batches against all accepted digests, with an index on disk that grows by appending.
 
-The index is a folder of three tables, each in buckets that are folders of their own, so that a batch reads the buckets it asks
-and no others, and a manifest with one row a batch, written last: what isn't in it doesn't count, so a batch that
-fails halfway leaves no trace, and an index can be opened again from its folder alone.
+The index is a folder of three tables, each in buckets that are folders of their own, and a manifest with one row a batch, written
+last: what isn't in it doesn't count, so a batch that fails halfway leaves no trace, and an index can be opened again from its
+folder alone.  A batch is sent to the buckets that it asks; the task of a bucket reads its files row group by row group where they
+lie.  So accepted digests are never shuffled, and buckets that aren't asked aren't read.
 
 ``digests``: accepted digests by hash.  ``segments``: the segments of accepted ssdeep digests, a fixed number for each length of signature:
 six characters at every second place, with place and length.  Whatever scores above 0 has seven characters in a row in
@@ -15,7 +16,9 @@ the limit allows.
 from __future__ import annotations
 
 import math
+import re
 import uuid
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -24,22 +27,83 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.functions import ctph
+from sievekit.functions import ctph, tlsh
 from sievekit.llm import hamming
 from sievekit.session import shared_folder
 
 STORED_STEP, ASKED_STEP = 2, 1
 NEW, NEAR, EQUAL = "new", "near", "equal"
-STATUS = [NEW, NEAR, EQUAL]
 BUCKETS = 16
-CELL_BUCKETS = 32
+PART_ROWS = {"digests": 4_000_000, "segments": 4_000_000, "chunks": hamming.UNIT_ROWS}  # stored rows that one task goes through
+ROW_GROUP = 16 << 20
+PAIRS_AT_ONCE = 1 << 20
 _JUDGED = "batch int, space int, algo string, plain string, n long, id long, status string"
 _TABLES = {
-    "digests": "commit long, space int, algo string, plain string, id long, bucket int",
-    "segments": "commit long, key long, length int, at int, id long, bucket int",
-    "chunks": "commit long, cell int, sig string, id long, bucket int",
+    "digests": "space int, algo string, plain string, id long, bucket int, commit long",
+    "segments": "key long, length int, at int, id long, bucket int, commit long",
+    "chunks": "sig string, id long, bucket int, commit long",
 }
-_MANIFEST = "number int, commit long, buckets int, cells array<struct<cell: int, n: bigint>>, path string"
+_MANIFEST = "number int, commit long, buckets int, counts array<struct<name: string, bucket: int, n: bigint>>, path string"
+
+
+class Stored:
+    """The files of the tables, read in the tasks; ``commits``: those that count."""
+
+    def __init__(self, folder: str, commits: list[int]) -> None:
+        self.folder, self.commits = folder, frozenset(commits)
+
+    def read(self, name: str, bucket: int, part: int, parts: int, columns: list[str]) -> Iterator[pa.Table]:
+        """The row groups of one of the ``parts`` of a bucket."""
+        from pyarrow import fs, parquet
+
+        if re.match("[a-z0-9]+:/", self.folder):
+            system, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/(?!/)", "file:///", self.folder)))
+        else:
+            system, path = fs.LocalFileSystem(), self.folder
+        found = system.get_file_info(fs.FileSelector(f"{path}/{name}/bucket={bucket}", allow_not_found=True, recursive=True))
+        number = 0
+        for f in sorted(x.path for x in found if x.is_file and x.path.endswith(".parquet")):
+            if int(re.search(r"/commit=(\d+)/", f)[1]) not in self.commits:
+                continue
+            with system.open_input_file(f) as file:
+                groups = parquet.ParquetFile(file)
+                for g in range(groups.num_row_groups):
+                    if number % parts == part:
+                        yield groups.read_row_group(g, columns)
+                    number += 1
+
+
+def _runs(batches, columns: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows sorted by ``columns``, those of each value together."""
+    held, current = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for low, high in zip(edges, edges[1:]):
+            now = tuple(key[low].tolist())
+            if held and now != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = now
+            held.append(b.slice(low, high - low))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
+def _matches(asked: np.ndarray, stored: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in ``asked`` (sorted) and in ``stored`` of equal keys, a bounded number of pairs at a time."""
+    low, high = np.searchsorted(asked, stored, "left"), np.searchsorted(asked, stored, "right")
+    some = np.flatnonzero(high > low)
+    n = (high - low)[some]
+    ends = np.cumsum(n)
+    begin = 0
+    while begin < len(some):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - n[begin] + PAIRS_AT_ONCE, "right")))
+        part = slice(begin, end)
+        yield hamming._expand(low[some[part]], n[part]), np.repeat(some[part], n[part])
+        begin = end
 
 
 def _segments(step: int):
@@ -54,16 +118,86 @@ def _segments(step: int):
     return run
 
 
-def _verified(least: int):
-    """For ``mapInArrow`` over ``id``, ``value_1``, ``value_2``: ids with their rank where the values are equal or score enough."""
+def _find_segments(stored: Stored, parts: dict[int, int], least: int):
+    """Pairs of an asking id and the id of a stored digest that share a segment, and whose lengths allow the score."""
+    share = math.ceil(64 * (101 - least) / 100)
 
     def run(batches):
+        for (bucket, part), t in _runs(batches, ["bucket", "part"]):
+            t = t.sort_by("key")
+            key, m, ids = t["key"].to_numpy(), t["length"].to_numpy(), t["id"].to_numpy()
+            for rows in stored.read("segments", bucket, part, parts.get(bucket, 1), ["key", "length", "id"]):
+                n, want = rows["length"].to_numpy(), rows["id"].to_numpy()
+                for i, j in _matches(key, rows["key"].to_numpy()):
+                    # The least edit distance of two lengths is their difference; beyond the bound the score is too low.
+                    fits = np.abs(m[i] - n[j]) * 64 < (m[i] + n[j]) * share
+                    both = np.unique(np.stack([ids[i[fits]], want[j[fits]]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["id", "want"])
+
+    return run
+
+
+def _find_digests(stored: Stored, parts: dict[int, int]):
+    """The stored texts of the ids that are asked for."""
+
+    def run(batches):
+        for (bucket, part), t in _runs(batches, ["bucket", "part"]):
+            asked = np.unique(np.stack([t["key"].to_numpy(), t["id"].to_numpy()]), axis=1)
+            for rows in stored.read("digests", bucket, part, parts.get(bucket, 1), ["id", "plain"]):
+                for i, j in _matches(asked[0], rows["id"].to_numpy()):
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[1][i]), rows["plain"].take(pa.array(j)).combine_chunks().cast(pa.string())], ["id", "plain"])
+
+    return run
+
+
+def _find_chunks(stored: Stored, parts: dict[int, int], limit: int):
+    """The asking ids that are near to a stored tlsh digest of the cell."""
+
+    def run(batches):
+        for (cell, part), t in _runs(batches, ["bucket", "part"]):
+            left, ids = tlsh.parse(t["sig"].to_pylist())[0], t["id"].to_numpy()
+            for rows in stored.read("chunks", cell, part, parts.get(cell, 1), ["sig"]):
+                right = tlsh.parse(rows["sig"].to_pylist())[0]
+                i, _, d = hamming.near_in_memory(left, right, limit)
+                near = np.unique(ids[i])  # those that equal a stored one too; equal goes before near
+                yield pa.RecordBatch.from_arrays([pa.array(near)], ["id"])
+
+    return run
+
+
+def _judge(batch: int | None, least: int):
+    """For ``mapInArrow`` over rows sorted by ``id`` and ``kind`` (0 the digest, 1 a stored text, 2 near to one): the digest with its status."""
+
+    def judged(t: pa.Table) -> pa.RecordBatch:
+        ids, kind, plain = t["id"].to_numpy(), t["kind"].to_numpy(), t["plain"].to_pylist()
+        first = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1) != 0)
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+        rank = np.where(kind == 2, 1, 0)
+        rows = np.flatnonzero(kind == 1)
+        x, y = [plain[first[run[k]]] for k in rows], [plain[k] for k in rows]
+        rank[rows] = [2 if p == q else 0 for p, q in zip(x, y)]
+        other = np.flatnonzero(rank[rows] == 0)
+        rank[rows[other]] = ctph.scores([x[k] for k in other], [y[k] for k in other]) >= least
+        best = np.zeros(len(first), dtype=np.int64)
+        np.maximum.at(best, run, rank)  # equal goes before near, near before new
+        out = t.take(pa.array(first)).select(["space", "algo", "plain", "n", "id"])
+        status = pa.array([NEW, NEAR, EQUAL], pa.string()).take(pa.array(best))
+        return out.add_column(0, "batch", pa.array([batch] * len(first), pa.int32())).append_column("status", status).combine_chunks().to_batches()[0]
+
+    def run(batches):
+        held = None  # the last digest, whose rows may go on in the next batch
         for b in batches:
-            ids, x, y = b.column("id"), b.column("value_1").to_pylist(), b.column("value_2").to_pylist()
-            rank = np.array([2 if p == q else 0 for p, q in zip(x, y)], dtype=np.int32)
-            other = np.flatnonzero(rank == 0)
-            rank[other] = ctph.scores([x[i] for i in other], [y[i] for i in other]) >= least
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rank)], ["id", "rank"]).filter(pa.array(rank > 0))
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            ids = t["id"].to_numpy()
+            last = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if ids[0] != ids[-1] else 0
+            if last:
+                yield judged(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield judged(held)
 
     return run
 
@@ -71,43 +205,43 @@ def _verified(least: int):
 class SegmentIndex:
     """Accepted digests of several spaces (numbers that say what is compared with what), on disk; ``folder`` may hold an index already.
 
-    ``least``: smallest ssdeep score, ``limit``: greatest tlsh distance that count as near; other algorithms: equal only.
+    ``least``: smallest ssdeep score, ``limit``: greatest tlsh distance that count as near; other algorithms: equal only.  ``buckets`` (of
+    a new index): with many, a batch reads less and goes to more tasks.  Tasks read the folder by themselves: a path, or a
+    URI of a file system that Arrow knows (file, hdfs, s3, gs).
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, least: int = 40, limit: int = 40, buckets: int = BUCKETS) -> None:
         self.spark, self.folder, self.least, self.limit, self.buckets = spark, folder or shared_folder(spark), least, limit, buckets
         self.commits: list[int] = []
         self.judged_at: list[str] = []
-        self.stored: dict[int, int] = {}  # tlsh digests in each cell
+        self.stored: dict[str, dict[int, int]] = {name: {} for name in _TABLES}  # rows of each bucket
         try:
             known = spark.read.schema(_MANIFEST).parquet(f"{self.folder}/manifest").orderBy("number").collect()  # one row a batch
         except AnalysisException:
-            known = []
-            for name, schema in _TABLES.items():
-                spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+            return  # a new one
         for r in known:
             self.buckets = r["buckets"]
-            self._count_in(r["commit"], r["path"], {c["cell"]: c["n"] for c in r["cells"]})
+            self._count_in(r["commit"], r["path"], [tuple(c) for c in r["counts"]])
 
-    def _count_in(self, commit: int, path: str, cells: dict[int, int]) -> None:
+    def _count_in(self, commit: int, path: str, counts: list[tuple[str, int, int]]) -> None:
         self.commits.append(commit)
         self.judged_at.append(path)
-        for c, n in cells.items():
-            self.stored[c] = self.stored.get(c, 0) + n
-
-    def _read(self, name: str, buckets: list[int]) -> DataFrame:
-        """Committed rows of those buckets; the others aren't read."""
-        rows = self.spark.read.schema(_TABLES[name]).parquet(f"{self.folder}/{name}")
-        return rows.where(F.col("bucket").isin(buckets) & F.col("commit").isin(self.commits)).drop("commit", "bucket")
+        for name, bucket, n in counts:
+            self.stored[name][bucket] = self.stored[name].get(bucket, 0) + n
 
-    def _append(self, name: str, rows: DataFrame, commit: int) -> None:
+    def _append(self, name: str, rows: DataFrame, commit: int) -> list[tuple[str, int, int]]:
+        """Appends to a table; the rows written to each bucket."""
         columns = [c.split()[0] for c in _TABLES[name].split(", ")]
         rows = rows.withColumn("commit", F.lit(commit)).select(*columns)
-        rows.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        rows.hint("rebalance", "bucket").write.mode("append").option("parquet.block.size", ROW_GROUP).partitionBy("bucket", "commit").parquet(f"{self.folder}/{name}")
+        return [(name, r["bucket"], r["n"]) for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()]  # a row a bucket
 
     def accepted(self) -> DataFrame:
         """All accepted digests: ``space``, ``algo``, ``plain``, ``id``."""
-        return self._read("digests", list(range(self.buckets)))
+        if not self.stored["digests"]:
+            return self.spark.createDataFrame([], _TABLES["digests"]).drop("bucket", "commit")
+        rows = self.spark.read.schema(_TABLES["digests"]).parquet(f"{self.folder}/digests")
+        return rows.where(F.col("commit").isin(self.commits)).drop("bucket", "commit")
 
     def judged(self) -> DataFrame:
         """The distinct digests of all batches so far: ``batch``, ``space``, ``algo``, ``plain``, ``n`` rows, ``id``, ``status``."""
@@ -125,37 +259,32 @@ class SegmentIndex:
         ``compare`` all are accepted.  Digests are told apart by 64-bit hashes.
         """
         commit = uuid.uuid4().int >> 65
-        at = lambda name: f"{self.folder}/{name}-{commit:016x}"
+        path = f"judged-{commit:016x}"
         # One row a digest, counted on the map side first: a digest that fills the batch is one row a map task.
         fresh = rows.where(F.col("plain").isNotNull() & F.col("space").isNotNull()).groupBy("space", "algo", "plain").agg(F.count("*").alias("n"))
-        fresh.withColumn("id", F.xxhash64("space", "plain")).write.parquet(at("fresh"))
-        fresh = self.spark.read.schema("space int, algo string, plain string, n long, id long").parquet(at("fresh"))
-        found = self._found(fresh, at("pairs")) if compare and self.commits else []
-        rank = fresh.select("*", F.lit(0).alias("rank"))
-        for f in found:
-            rank = rank.unionByName(f, allowMissingColumns=True)
-        # Equal goes before near, near before new.
-        best = rank.groupBy("id").agg(*(F.max(c).alias(c) for c in ("space", "algo", "plain", "n", "rank")))
-        status = F.element_at(F.array(*map(F.lit, STATUS)), F.col("rank") + 1)
-        path = f"judged-{commit:016x}"
-        best.select(F.lit(batch).cast("int").alias("batch"), "space", "algo", "plain", "n", "id", status.alias("status")).write.parquet(f"{self.folder}/{path}")
+        fresh = fresh.withColumn("id", F.xxhash64("space", "plain"))
+        if compare and self.commits:
+            fresh.write.parquet(f"{self.folder}/fresh-{commit:016x}")
+            fresh = self.spark.read.schema("space int, algo string, plain string, n long, id long").parquet(f"{self.folder}/fresh-{commit:016x}")
+            own = fresh.select("id", F.lit(0).alias("kind"), "space", "algo", "plain", "n")
+            for kind, found in self._found(fresh):
+                own = own.unionByName(found.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+            own.repartition("id").sortWithinPartitions("id", "kind").mapInArrow(_judge(batch, self.least), _JUDGED).write.parquet(f"{self.folder}/{path}")
+        else:
+            fresh.select(F.lit(batch).cast("int").alias("batch"), "space", "algo", "plain", "n", "id", F.lit(NEW).alias("status")).write.parquet(f"{self.folder}/{path}")
         judged = self.spark.read.schema(_JUDGED).parquet(f"{self.folder}/{path}")
         new = judged.where(F.col("status") == NEW)
-        tlsh = hamming.tlsh_rows(new.where(F.col("algo") == "tlsh")).withColumn("cell", F.col("space") * hamming.CELLS + F.col("own"))
         parts = {
             "digests": new.withColumn("bucket", self._bucket(F.col("id"))),
             "segments": self._asked(new, STORED_STEP).withColumn("bucket", self._bucket(F.col("key"))),
-            "chunks": tlsh.withColumn("bucket", F.pmod("cell", F.lit(CELL_BUCKETS))),
+            "chunks": hamming.tlsh_rows(new.where(F.col("algo") == "tlsh")).withColumn("bucket", F.col("space") * hamming.CELLS + F.col("own")),
         }
-        with ThreadPoolExecutor(len(parts) + 1) as pool:
-            count = pool.submit(lambda: {r["cell"]: r["n"] for r in tlsh.groupBy("cell").agg(F.count("*").alias("n")).collect()})  # 64 rows a space at most
-            for done in [pool.submit(self._append, name, df, commit) for name, df in parts.items()]:
-                done.result()
-            cells = count.result()
-        counted = F.array(*(F.struct(F.lit(c), F.lit(n)) for c, n in cells.items())).cast("array<struct<cell: int, n: bigint>>")
-        row = zip((F.lit(len(self.commits)), F.lit(commit), F.lit(self.buckets), counted, F.lit(path)), ("number", "commit", "buckets", "cells", "path"))
+        with ThreadPoolExecutor(len(parts)) as pool:
+            counts = [c for done in [pool.submit(self._append, name, df, commit) for name, df in parts.items()] for c in done.result()]
+        listed = F.array(*(F.struct(*map(F.lit, c)) for c in counts)).cast("array<struct<name: string, bucket: int, n: bigint>>")
+        row = zip((F.lit(len(self.commits)), F.lit(commit), F.lit(self.buckets), listed, F.lit(path)), ("number", "commit", "buckets", "counts", "path"))
         self.spark.range(0, 1, 1, 1).select(*(c.alias(name) for c, name in row)).write.mode("append").parquet(f"{self.folder}/manifest")
-        self._count_in(commit, path, cells)
+        self._count_in(commit, path, counts)
         return judged
 
     @staticmethod
@@ -163,65 +292,28 @@ class SegmentIndex:
         """Segments of the ssdeep digests."""
         return df.where(F.col("algo") == "ssdeep").select("id", "space", "plain").mapInArrow(_segments(step), "key long, length int, at int, id long")
 
-    def _found(self, fresh: DataFrame, pairs_at: str) -> list[DataFrame]:
-        """``id``, ``rank`` of the digests of ``fresh`` that equal (2) or are near to (1) accepted ones, each once or more."""
-        asked = self._asked(fresh, ASKED_STEP)
-        tlsh = hamming.tlsh_rows(fresh.where(F.col("algo") == "tlsh")).withColumn("cell", F.col("space") * hamming.CELLS + F.col("own"))
-        kinds = [(0, fresh.select(self._bucket(F.col("id")).alias("at"))), (1, asked.select(self._bucket(F.col("key")).alias("at"))), (2, tlsh.select(F.col("cell").alias("at")))]
-        both = [df.select(F.lit(k).alias("kind"), "at") for k, df in kinds]
-        counts = both[0].unionByName(both[1]).unionByName(both[2]).groupBy("kind", "at").agg(F.count("*").alias("n")).collect()  # a row a bucket or cell
-        of = lambda k: {r["at"]: r["n"] for r in counts if r["kind"] == k}
-        by_id, by_key, cells = of(0), of(1), of(2)
-        found = []
-        wanted = fresh.select("id", F.col("plain").alias("value_1"), F.col("id").alias("want"))
-        if by_key:
-            n, m = F.col("length"), F.col("asked_length")
-            # The least edit distance of two lengths is their difference; beyond the bound the score is too low.
-            bound = (F.abs(m - n) * 64) < (m + n) * math.ceil(64 * (101 - self.least) / 100)
-            stored = self._read("segments", list(by_key)).select("key", "length", F.col("id").alias("want"))
-            pairs = asked.select("key", F.col("length").alias("asked_length"), "id").join(stored, "key").where(bound)
-            pairs.select("id", "want").distinct().write.parquet(pairs_at)
-            pairs = self.spark.read.schema("id long, want long").parquet(pairs_at)
-            for r in pairs.select(self._bucket(F.col("want")).alias("at")).distinct().collect():
-                by_id.setdefault(r["at"], 0)
-            wanted = wanted.unionByName(pairs.join(fresh.select("id", F.col("plain").alias("value_1")), "id"))
-        known = self._read("digests", list(by_id)).select(F.col("id").alias("want"), F.col("plain").alias("value_2"))
-        found.append(wanted.join(known, "want").select("id", "value_1", "value_2").mapInArrow(_verified(self.least), "id long, rank int"))
-        if cells:
-            found.append(self._near_tlsh(tlsh, cells).withColumn("rank", F.lit(1)))
-        return found
-
-    def _near_tlsh(self, asked: DataFrame, counts: dict[int, int]) -> DataFrame:
-        """Digests go to the stored ones of their cell and of both next ones; a cell of many on either side is cut into blocks."""
-        turn = lambda c, k: c // hamming.CELLS * hamming.CELLS + (c + k) % hamming.CELLS
-        arriving: dict[int, int] = {}
-        for c, n in counts.items():
-            for k in (-1, 0, 1):
-                arriving[turn(c, k)] = arriving.get(turn(c, k), 0) + n
-        cells = sorted(set(arriving) & set(self.stored))
-        if not cells:
-            return self.spark.createDataFrame([], "id long")
-        # Blocks of a cell; only cells of more than one are named in the plan.
-        blocks = lambda sizes, cell: self._blocks({c: math.ceil(sizes[c] / hamming.UNIT_ROWS) for c in cells}, cell)
-        own, cell = F.col("own"), F.col("cell")
-        around = F.explode(F.array(*((F.col("space") * hamming.CELLS + F.pmod(own + k, F.lit(hamming.CELLS))).cast("int") for k in (-1, 0, 1))))
-        left = asked.select("id", "sig", around.alias("cell")).where(cell.isin(cells))
-        left = left.select("*", F.pmod(F.xxhash64("id"), blocks(arriving, cell)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), blocks(self.stored, cell) - 1)).alias("b"), F.lit(True).alias("is_left"))
-        right = self._read("chunks", sorted({c % CELL_BUCKETS for c in cells})).where(cell.isin(cells))
-        right = right.select("id", "sig", "cell", F.explode(F.sequence(F.lit(0), blocks(arriving, cell) - 1)).alias("a"), F.pmod(F.xxhash64("id"), blocks(self.stored, cell)).cast("int").alias("b"), F.lit(False).alias("is_left"))
-        key = ["cell", "a", "step", "b"]
-        return (
-            left.unionByName(right)
-            .withColumn("step", F.lit(0))
-            .repartition(*key)
-            .sortWithinPartitions(*key)
-            .mapInArrow(hamming.join_units(self.limit, two_sides=True), hamming.PAIR)
-            .select(F.col("id_1").alias("id"))
-        )
+    def _asking(self, name: str, rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+        """``rows`` (with ``bucket``) go to the task of their bucket, or to those of all its parts if more is stored there than a task takes."""
+        parts = {b: math.ceil(n / PART_ROWS[name]) for b, n in self.stored[name].items() if n > PART_ROWS[name]}
+        if parts:
+            many = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)), F.col("bucket")), F.lit(1))
+            rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
+        else:
+            rows = rows.withColumn("part", F.lit(0))
+        key = ["bucket", "part"]
+        return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run(Stored(self.folder, self.commits), parts), schema)
 
-    @staticmethod
-    def _blocks(counts: dict[int, int], cell: Column) -> Column:
-        many = {c: n for c, n in counts.items() if n > 1}
-        if not many:
-            return F.lit(1)
-        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in many.items() for x in kv)), cell), F.lit(1))
+    def _found(self, fresh: DataFrame) -> list[tuple[int, DataFrame]]:
+        """Kind and rows of what a batch meets: ``id``, ``plain`` of stored digests that may equal or be near to it (1), ``id`` of those near to one (2)."""
+        wanted = fresh.select("id", F.col("id").alias("key"), self._bucket(F.col("id")).alias("bucket"))
+        if self.stored["segments"]:
+            asked = self._asked(fresh, ASKED_STEP).select("key", "length", "id", self._bucket(F.col("key")).alias("bucket"))
+            pairs = self._asking("segments", asked, lambda s, parts: _find_segments(s, parts, self.least), "id long, want long")
+            wanted = wanted.unionByName(pairs.select("id", F.col("want").alias("key"), self._bucket(F.col("want")).alias("bucket")))
+        found = [(1, self._asking("digests", wanted, _find_digests, "id long, plain string"))]
+        if self.stored["chunks"]:
+            tlsh_rows = hamming.tlsh_rows(fresh.where(F.col("algo") == "tlsh"))
+            cell = lambda k: (F.col("space") * hamming.CELLS + F.pmod(F.col("own") + k, F.lit(hamming.CELLS))).cast("int")
+            asked = tlsh_rows.select("id", "sig", F.explode(F.array(*map(cell, (-1, 0, 1)))).alias("bucket")).where(F.col("bucket").isin(list(self.stored["chunks"])))
+            found.append((2, self._asking("chunks", asked, lambda s, parts: _find_chunks(s, parts, self.limit), "id long")))
+        return found

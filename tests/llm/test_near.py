@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievekit.functions import ctph, tlsh
 from sievekit.llm import hamming
+from sievekit.llm import segments
 from sievekit.llm.segments import SegmentIndex
 from tests.test_fuzzy import some_digests
 
@@ -144,7 +145,7 @@ def near(algo, x, y):
 
 
 def test_segment_index(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(hamming, "UNIT_ROWS", 6)
+    monkeypatch.setattr(segments, "PART_ROWS", {"digests": 30, "segments": 100, "chunks": 6})
     r = random.Random(8)
     pool = [("ssdeep", t) for t in [*some_digests(r, 30), "3:aaaab:c", "3:aaaaaab:c", "3:a:"]] + [("tlsh", t) for t in tlsh_family(r, 8, 6)] + [("md5", "%032x" % r.getrandbits(128)) for _ in range(20)]
     index, accepted = SegmentIndex(spark, str(tmp_path / "index")), {0: [], 1: []}
@@ -182,41 +183,27 @@ def test_segment_index_is_opened_again(spark, tmp_path):
     answers = [{(x.plain, x.status) for x in index.add(frame(digests), 1).collect()} for index in (one, two)]
     assert answers[0] == answers[1] and len(answers[0]) == len(set(digests))
     # What a failed batch left behind doesn't count.
-    rest = spark.createDataFrame([(7, 0, "md5", "ff" * 16, 1, 0)], "commit long, space int, algo string, plain string, id long, bucket int")
-    rest.write.mode("append").partitionBy("bucket").parquet(str(tmp_path / "b" / "digests"))
+    rest = spark.createDataFrame([(0, "md5", "ff" * 16)], "space int, algo string, plain string").withColumns({"id": F.xxhash64("space", "plain"), "commit": F.lit(7)})
+    rest.withColumn("bucket", two._bucket(F.col("id"))).write.mode("append").partitionBy("bucket", "commit").parquet(str(tmp_path / "b" / "digests"))
     assert SegmentIndex(spark, str(tmp_path / "b")).accepted().count() == one.accepted().count()
     assert [x.status for x in SegmentIndex(spark, str(tmp_path / "b")).add(frame([("md5", "ff" * 16)]), 2).collect()] == ["new"]
 
 
-def rows_read(spark, df):
-    """Rows that the scans of a plan gave."""
-    df.collect()
-    todo, total = [df._jdf.queryExecution().executedPlan()], 0
-    while todo:
-        p = todo.pop()
-        p = p.executedPlan() if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else p
-        while p.getClass().getSimpleName().endswith("QueryStageExec"):
-            p = p.plan()
-        if p.getClass().getSimpleName() == "FileSourceScanExec":
-            total += p.metrics().apply("numOutputRows").value()
-        children = p.children()
-        todo += [children.apply(i) for i in range(children.size())]
-    return total
-
-
 @pytest.mark.parametrize("batches", [3, 9])
-def test_batch_reads_the_buckets_it_asks_only(spark, tmp_path, batches):
+def test_batch_reads_the_buckets_it_asks_only(spark, tmp_path, monkeypatch, batches):
     index = SegmentIndex(spark, str(tmp_path / "index"), buckets=8)
     frame = lambda part: spark.createDataFrame([(0, "md5", p) for p in part], "space int, algo string, plain string")
     bucket = {r.plain: r.b for r in frame(f"{k:032x}" for k in range(800)).select("plain", index._bucket(F.xxhash64("space", "plain")).alias("b")).collect()}
-    of = lambda b: [p for p in bucket if bucket[p] == b]
-    index.add(frame(of(3)[:40]), 0)
-    others = [p for p in bucket if bucket[p] != 3]
+    asked, others = [p for p in bucket if bucket[p] == 3], [p for p in bucket if bucket[p] != 3]
+    index.add(frame(asked[:40]), 0)
     for k in range(batches):
         index.add(frame(others[50 * k : 50 * k + 50]), 1 + k)
     assert index.accepted().count() == 40 + 50 * batches
-    fresh = index.add(frame([]), 99)  # an empty batch, for the columns
-    asked = frame(of(3)[35:45]).select("space", "algo", "plain", F.lit(1).cast("long").alias("n"), F.xxhash64("space", "plain").alias("id"))
-    assert fresh.count() == 0
-    (found,) = index._found(asked, str(tmp_path / "pairs"))
-    assert rows_read(spark, found) == 40 and found.count() == 5
+    read = []
+    stored = segments.Stored(index.folder, index.commits)
+    whole = stored.read
+    monkeypatch.setattr(stored, "read", lambda *a: (read.append(t.num_rows) or t for t in whole(*a)))
+    rows = frame(asked[35:45]).select(F.lit(3).alias("bucket"), F.lit(0).alias("part"), F.xxhash64("space", "plain").alias("key"), F.xxhash64("space", "plain").alias("id"))
+    found = [p for b in segments._find_digests(stored, {})(iter(rows.toArrow().to_batches())) for p in b.column("plain").to_pylist()]
+    assert sum(read) == 40 and sorted(found) == sorted(asked[35:40])
+    assert {r.status for r in index.add(frame(asked[35:40]), 99).collect()} == {"equal"}
