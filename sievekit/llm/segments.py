@@ -8,8 +8,8 @@ lie.  So accepted digests are never shuffled, and buckets that aren't asked aren
 ``digests``: accepted digests by hash.  ``segments``: the segments of accepted ssdeep digests, a fixed number for each length of signature:
 six characters at every second place, with place and length.  Whatever scores above 0 has seven characters in a row in
 common with a digest, and two segments begin in each such window, one of them at an even place; so a batch asks for its
-substrings of six characters, and verifies the bounded edit distance of what it finds.  ``chunks``: accepted tlsh digests by the cell
-of their length byte; they have one length, so their segments are the chunks at fixed positions, probed with the errors that
+substrings of six characters, and verifies the bounded edit distance of what it finds.  ``chunks``: accepted tlsh digests by
+sixteenths of their length byte; they have one length, so their segments are the chunks at fixed positions, probed with the errors that
 the limit allows.
 """
 
@@ -36,6 +36,7 @@ NEW, NEAR, EQUAL = "new", "near", "equal"
 BUCKETS = 16
 PART_ROWS = {"digests": 4_000_000, "segments": 4_000_000, "chunks": hamming.UNIT_ROWS}  # stored rows that one task goes through
 ROW_GROUP = 16 << 20
+LENGTHS = 16  # buckets of tlsh digests, each a range of the length byte
 PAIRS_AT_ONCE = 1 << 20
 _JUDGED = "batch int, space int, algo string, plain string, n long, id long, status string"
 _TABLES = {
@@ -151,16 +152,29 @@ def _find_digests(stored: Stored, parts: dict[int, int]):
 
 
 def _find_chunks(stored: Stored, parts: dict[int, int], limit: int):
-    """The asking ids that are near to a stored tlsh digest of the cell."""
+    """The asking ids that are near to a stored tlsh digest of the bucket."""
+
+    def gathered(tables: Iterator[pa.Table]) -> Iterator[np.ndarray]:
+        """Parsed digests, a bounded number at a time."""
+        held, n = [], 0
+        for t in tables:
+            for b in t.to_batches(max_chunksize=hamming.UNIT_ROWS):
+                held.append(tlsh.parse(b.column("sig").to_pylist())[0])
+                n += b.num_rows
+                if n >= hamming.UNIT_ROWS:
+                    yield np.concatenate(held)
+                    held, n = [], 0
+        if held:
+            yield np.concatenate(held)
 
     def run(batches):
-        for (cell, part), t in _runs(batches, ["bucket", "part"]):
+        for (bucket, part), t in _runs(batches, ["bucket", "part"]):
             left, ids = tlsh.parse(t["sig"].to_pylist())[0], t["id"].to_numpy()
-            for rows in stored.read("chunks", cell, part, parts.get(cell, 1), ["sig"]):
-                right = tlsh.parse(rows["sig"].to_pylist())[0]
-                i, _, d = hamming.near_in_memory(left, right, limit)
-                near = np.unique(ids[i])  # those that equal a stored one too; equal goes before near
-                yield pa.RecordBatch.from_arrays([pa.array(near)], ["id"])
+            for right in gathered(stored.read("chunks", bucket, part, parts.get(bucket, 1), ["sig"])):
+                i, _, _ = hamming.near_in_memory(left, right, limit)
+                near = np.unique(i)  # those that equal a stored one too; equal goes before near
+                yield pa.RecordBatch.from_arrays([pa.array(ids[near])], ["id"])
+                left, ids = np.delete(left, near, axis=0), np.delete(ids, near)
 
     return run
 
@@ -251,6 +265,12 @@ class SegmentIndex:
     def _bucket(self, of: Column) -> Column:
         return F.pmod(of, F.lit(self.buckets)).cast("int")
 
+    @staticmethod
+    def _length_bucket(k: int) -> Column:
+        """The bucket of the cell of lengths ``k`` cells on, in the digest's space."""
+        cell = F.pmod(F.col("own") + k, F.lit(hamming.CELLS))
+        return (F.col("space") * LENGTHS + F.floor(cell / (hamming.CELLS // LENGTHS))).cast("int")
+
     def add(self, rows: DataFrame, batch: int | None, compare: bool = True) -> DataFrame:
         """Splits a batch (``space`` int, ``algo``, ``plain``) against what was accepted before it, and appends what is new.
 
@@ -277,7 +297,7 @@ class SegmentIndex:
         parts = {
             "digests": new.withColumn("bucket", self._bucket(F.col("id"))),
             "segments": self._asked(new, STORED_STEP).withColumn("bucket", self._bucket(F.col("key"))),
-            "chunks": hamming.tlsh_rows(new.where(F.col("algo") == "tlsh")).withColumn("bucket", F.col("space") * hamming.CELLS + F.col("own")),
+            "chunks": hamming.tlsh_rows(new.where(F.col("algo") == "tlsh")).withColumn("bucket", self._length_bucket(0)),
         }
         with ThreadPoolExecutor(len(parts)) as pool:
             counts = [c for done in [pool.submit(self._append, name, df, commit) for name, df in parts.items()] for c in done.result()]
@@ -313,7 +333,8 @@ class SegmentIndex:
         found = [(1, self._asking("digests", wanted, _find_digests, "id long, plain string"))]
         if self.stored["chunks"]:
             tlsh_rows = hamming.tlsh_rows(fresh.where(F.col("algo") == "tlsh"))
-            cell = lambda k: (F.col("space") * hamming.CELLS + F.pmod(F.col("own") + k, F.lit(hamming.CELLS))).cast("int")
-            asked = tlsh_rows.select("id", "sig", F.explode(F.array(*map(cell, (-1, 0, 1)))).alias("bucket")).where(F.col("bucket").isin(list(self.stored["chunks"])))
+            # Lengths more than three apart rule a pair out, so it is in the cell or in a next one, mostly in the same bucket.
+            around = F.explode(F.array_distinct(F.array(*map(self._length_bucket, (-1, 0, 1)))))
+            asked = tlsh_rows.select("id", "sig", around.alias("bucket")).where(F.col("bucket").isin(list(self.stored["chunks"])))
             found.append((2, self._asking("chunks", asked, lambda s, parts: _find_chunks(s, parts, self.limit), "id long")))
         return found
