@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +30,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", name: str = "sievek
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder path below ``spark.checkpoint.dir``, which all executors share.
+    """A new folder path below ``spark.checkpoint.dir``, which all executors share; removed when the driver's Python ends.
 
     Where the session names none and runs locally (tests), a temporary folder is set.
     """
@@ -36,20 +39,39 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local_root()
-    return f"{root.rstrip('/')}/sievekit-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/sievekit-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 _made: list[str] = []
+_root: list[str] = []
 
 
 def _local_root() -> str:
-    if not _made:
-        import atexit
-        import shutil
-
-        _made.append(tempfile.mkdtemp(prefix="sievekit-"))
-        atexit.register(shutil.rmtree, _made[0], ignore_errors=True)
-    return _made[0]
+    if not _root:
+        _root.append(tempfile.mkdtemp(prefix="sievekit-"))
+        atexit.register(shutil.rmtree, _root[0], ignore_errors=True)
+    return _root[0]
+
+
+def file_system(uri: str):
+    """Arrow's file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    if re.match("[a-z0-9]+:/", uri):
+        return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/(?!/)", "file:///", uri)))
+    return fs.LocalFileSystem(), uri
+
+
+@atexit.register
+def remove_written() -> None:
+    """Removes the tables written so far; nothing that reads them may follow."""
+    while _made:
+        try:
+            system, path = file_system(_made.pop())
+            system.delete_dir(path)
+        except Exception:  # there is none, or Arrow doesn't know the file system
+            continue
 
 
 def written(df, by: str | None = None):
