@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from sievekit.session import written
 
-BLOCK_TOKENS = 8192
+SLOTS = 16_384  # blocks that the mix is cut into, as far as their bounds of size allow
+LEAST_BLOCK, MOST_BLOCK = 256, 8_192  # tokens
 BUCKET_DOCS = 20_000
 CHUNK_SLOTS = 65_536
 MAX_SOURCES = 10_000
+BINS = 4_096
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -27,19 +29,19 @@ class Mixture:
 
     ``docs``: ``id`` long, ``source`` (plain), ``n`` tokens; ``targets``: ``source``, ``target_share``, ``max_repeats``.
 
-    Documents of a source are shuffled by hash and laid end to end; where one starts says which block of ``block_tokens`` it
-    belongs to.  The mix has as many slots as the documents that have a source have blocks; the points of the golden-ratio
+    Documents of a source are shuffled by hash and laid end to end, round after round, as often as ``max_repeats`` allows; that row is
+    cut into blocks of ``block_tokens``, which are all full but the very last; a document that reaches over a boundary is in both blocks
+    with its part (``start``, ``n``).  The mix has as many slots as all documents that have a source have blocks; the points of the golden-ratio
     sequence, mapped through the cumulative target shares, give each slot its source, so shares hold for every stretch
-    of the mix.  The r-th slot of a source takes its block r, beginning again after the last, as often as
-    ``max_repeats`` allows; slots beyond that stay empty.  Positions come from prefix sums over hash buckets and over
-    chunks of slots, so no source, however large, meets in one task.
+    of the mix.  The r-th slot of a source takes its block r; slots beyond the last block stay empty.  Positions come from prefix
+    sums over hash buckets and over chunks of slots, so no source, however large, meets in one task.
 
     Documents without a source, or of a source without target, aren't mixed; those without tokens come with their
     block.  Shares are taken relative to their sum; null or negative ones count as 0.  An empty table gives no slots.
     """
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, bucket_docs: int = BUCKET_DOCS, chunk_slots: int = CHUNK_SLOTS, seed: int = 0) -> None:
-        self.spark, self.block_tokens, self.chunk_slots = docs.sparkSession, block_tokens, chunk_slots
+    def __init__(self, docs: DataFrame, targets: DataFrame, block_tokens: int | None = None, bucket_docs: int = BUCKET_DOCS, chunk_slots: int = CHUNK_SLOTS, seed: int = 0) -> None:
+        self.spark, self.chunk_slots = docs.sparkSession, chunk_slots
         wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r"))
         rows = wanted.orderBy("source").limit(MAX_SOURCES + 1).collect()
         if len(rows) > MAX_SOURCES:
@@ -56,59 +58,80 @@ class Mixture:
         share = {r["source"]: max(0.0, r["w"] or 0.0) for r in rows}
         whole = sum(share.values()) or 1.0
         self.sources = [(s, share[s] / whole, max(0, {r["source"]: r["r"] or 0 for r in rows}[s]), have.get(s, 0)) for s in share]
-        self.slots = math.ceil(self.total / block_tokens)
+        self.block_tokens = block_tokens or min(MOST_BLOCK, max(LEAST_BLOCK, math.ceil(self.total / SLOTS)))
+        self.slots = math.ceil(self.total / self.block_tokens)
         self.buckets = max(1, math.ceil(self.count / bucket_docs))
 
     def _plan(self) -> DataFrame:
-        """``source``, ``share``, ``max_repeats``, ``available`` tokens, ``blocks``, and the ``low`` to ``high`` of its points."""
+        """``source``, ``share``, ``max_repeats``, ``available`` tokens, ``blocks`` of all rounds, and the ``low`` to ``high`` of its points."""
         out, low = [], 0.0
         for k, (s, w, r, n) in enumerate(self.sources):
             high = 1.0 if k + 1 == len(self.sources) else low + w
-            out.append((s, w, r, n, math.ceil(n / self.block_tokens), low, high))
+            out.append((s, w, r, n, math.ceil(r * n / self.block_tokens), low, high))
             low = high
         return self.spark.createDataFrame(out, "source string, share double, max_repeats int, available long, blocks long, low double, high double")
 
+    def _drawn(self) -> DataFrame:
+        """``slot``, ``chunk``, and ``source``, ``blocks`` of its point."""
+        point = golden_point(F.col("id"))
+        slots = self.spark.range(self.slots).select(F.col("id").alias("slot"), point.alias("u"), F.floor(F.col("id") / self.chunk_slots).alias("chunk"), F.floor(point * BINS).cast("int").alias("bin"))
+        first = F.floor(F.col("low") * BINS).cast("int")
+        last = F.greatest(first, F.ceil(F.col("high") * BINS).cast("int") - 1)
+        bins = self._plan().where("high > low").select("source", "blocks", "low", "high", F.explode(F.sequence(first, last)).alias("bin"))
+        within = (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))
+        return slots.join(F.broadcast(bins), "bin").where(within).select("slot", "chunk", "source", "blocks")  # at most MAX_SOURCES + BINS rows
+
+    def drawn(self) -> dict[str, int]:
+        """Slots of each source, filled or not."""
+        if not hasattr(self, "_slots_of"):
+            self._slots_of = {r["source"]: r["n"] for r in self._drawn().groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row a source
+        return self._slots_of
+
     def blocks(self) -> DataFrame:
-        """``source``, ``id``, ``n``, ``block`` of every document that is mixed."""
-        docs = self.docs.join(F.broadcast(self._plan().select("source")), "source").withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(self.buckets)))
+        """``source``, ``round`` (from 0), ``id``, ``start``, ``n``, ``block`` of every part of a document that the slots of its source may ask for."""
+        drawn = self.drawn()
+        rounds = [(s, n, drawn.get(s, 0), min(r, math.ceil(drawn.get(s, 0) * self.block_tokens / n)) if n else 0) for s, _, r, n in self.sources]
+        rounds = F.broadcast(self.spark.createDataFrame(rounds, "source string, available long, drawn long, rounds int").where("rounds > 0"))  # a row a source
+        docs = self.docs.join(rounds, "source").withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(self.buckets)))
         sums = docs.groupBy("source", "bucket").agg(F.sum("n").alias("s"))
         before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sums.select("source", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
         within = Window.partitionBy("source", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
         start = F.col("offset") + F.coalesce(F.sum("n").over(within), F.lit(0))
-        return docs.join(offsets, ["source", "bucket"]).select("source", "id", "n", F.floor(start / self.block_tokens).alias("block"))
+        size = F.lit(self.block_tokens)
+        laid = docs.join(offsets, ["source", "bucket"]).withColumn("start", start).withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
+        laid = laid.withColumn("at", F.col("round") * F.col("available") + F.col("start")).withColumn("end", F.col("at") + F.col("n"))
+        first, last = F.floor(F.col("at") / size), F.least(F.floor((F.col("end") - 1) / size), F.col("drawn") - 1)
+        cut = laid.where(first < F.col("drawn")).withColumn("block", F.explode(F.sequence(first, F.greatest(first, last))))
+        begin = F.greatest("at", F.col("block") * size)
+        return cut.select("source", "round", "id", (begin - F.col("at")).alias("start"), (F.least("end", (F.col("block") + 1) * size) - begin).alias("n"), "block")
 
     def schedule(self) -> DataFrame:
-        """``slot``, ``source``, ``round`` (from 0), ``block``; slots that stay empty are left out."""
-        plan = F.broadcast(self._plan())  # bounded by MAX_SOURCES
-        slots = self.spark.range(self.slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("u"), F.floor(F.col("id") / self.chunk_slots).alias("chunk"))
-        drawn = slots.join(plan, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+        """``slot``, ``source``, ``block``; slots that stay empty are left out."""
+        drawn = self._drawn()
         counts = drawn.groupBy("source", "chunk").agg(F.count("*").alias("c"))
         before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select("source", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
         own = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1
-        ranked = drawn.withColumn("own", own).join(offsets, ["source", "chunk"]).withColumn("rank", F.col("offset") + F.col("own"))
-        return (
-            ranked.where((F.col("blocks") > 0) & (F.col("rank") < F.col("blocks") * F.col("max_repeats")))
-            .select("slot", "source", F.floor(F.col("rank") / F.greatest("blocks", F.lit(1))).cast("int").alias("round"), F.pmod("rank", F.greatest("blocks", F.lit(1))).alias("block"))
-        )
+        ranked = drawn.withColumn("own", own).join(offsets, ["source", "chunk"]).withColumn("block", F.col("offset") + F.col("own"))
+        return ranked.where(F.col("block") < F.col("blocks")).select("slot", "source", "block")
 
     def mix(self) -> DataFrame:
-        """``slot``, ``source``, ``round``, ``id``, ``n``: the documents of the mix."""
-        return self.schedule().join(self.blocks(), ["source", "block"]).select("slot", "source", "round", "id", "n")
+        """``slot``, ``source``, ``round``, ``id``, ``start``, ``n``: the parts of documents of the mix, in tokens."""
+        return self.schedule().join(self.blocks(), ["source", "block"]).select("slot", "source", "round", "id", "start", "n")
 
     def report(self) -> DataFrame:
-        """One row a target source: shares wanted and reached, tokens available and used, rounds, and ``standing``: ``once`` if
-        the target needs no repeats, ``repeated`` if it needs some within the limit, ``short`` if more."""
+        """One row a target source: shares wanted and reached, tokens available and used, rounds, and ``standing``, all as the mix
+        came out: ``short`` if slots of the source stay empty, ``repeated`` if documents come again, ``once`` otherwise."""
         used = self.mix().groupBy("source").agg(F.sum("n").alias("used"), F.max("round").alias("last"))
-        wanted, have = F.col("share") * F.lit(float(self.total)), F.col("available")
+        drawn = self.spark.createDataFrame(list(self.drawn().items()), "source string, drawn long")
         all_used = F.sum("used").over(Window.partitionBy(F.lit(0)))  # a row a source
+        rounds = F.coalesce(F.col("last") + 1, F.lit(0))
         return (
-            self._plan().join(used, "source", "left")
+            self._plan().join(used, "source", "left").join(F.broadcast(drawn), "source", "left")
             .select(
-                "source", F.col("share").alias("target_share"), "max_repeats", "available", F.coalesce("used", F.lit(0)).alias("used"),
-                F.coalesce(F.col("last") + 1, F.lit(0)).alias("rounds"),
+                "source", F.col("share").alias("target_share"), "max_repeats", "available", F.coalesce("used", F.lit(0)).alias("used"), rounds.alias("rounds"),
                 F.coalesce(F.col("used") / F.when(all_used > 0, all_used), F.lit(0.0)).alias("actual_share"),
-                F.when(wanted <= have, "once").when(wanted <= F.col("max_repeats") * have, "repeated").otherwise("short").alias("standing"),
+                F.when(F.coalesce("drawn", F.lit(0)) > F.col("blocks"), "short").when(rounds > 1, "repeated").otherwise("once").alias("standing"),
             )
         )

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievekit.session import written
+
 CAPACITY = 2048
 GROUP_ITEMS = 50_000
 _SCHEMA = "id long, piece int, start long, size long, container long"
@@ -103,6 +105,6 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, group_ite
     Result: ``id``, ``piece`` (from 0), ``start``, ``size``, ``container``.  Items of size 0 or null take no room: one piece
     without a container.  Repeated rows are packed each; rows without a key are packed too; an empty table gives no rows.
     """
-    groups = max(1, math.ceil(df.count() / group_items))
-    items = df.select(F.col(key).cast("long").alias("id"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    items = written(df.select(F.col(key).cast("long").alias("id"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("n")))  # sizes may be dear
+    groups = max(1, math.ceil(items.count() / group_items))
     return items.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).groupBy("grp").applyInPandas(_pack(capacity), _SCHEMA)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sievekit.functions import ctph, tlsh
 from sievekit.llm import hamming
-from sievekit.session import shared_folder
+from sievekit.session import file_system, shared_folder
 
 STORED_STEP, ASKED_STEP = 2, 1
 NEW, NEAR, EQUAL = "new", "near", "equal"
@@ -57,10 +57,7 @@ class Stored:
         """The row groups of one of the ``parts`` of a bucket."""
         from pyarrow import fs, parquet
 
-        if re.match("[a-z0-9]+:/", self.folder):
-            system, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/(?!/)", "file:///", self.folder)))
-        else:
-            system, path = fs.LocalFileSystem(), self.folder
+        system, path = file_system(self.folder)
         found = system.get_file_info(fs.FileSelector(f"{path}/{name}/bucket={bucket}", allow_not_found=True, recursive=True))
         number = 0
         for f in sorted(x.path for x in found if x.is_file and x.path.endswith(".parquet")):
