@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from sievekit import __version__
 from sievekit.config import DEFAULT_SCORE, Algorithm, DigestSpec
 from sievekit.plans.pipeline import DigestQuery
 from sievekit.session import local_session
@@ -12,6 +13,7 @@ from sievekit.session import local_session
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sievekit", description="Digests of files and trees, compared and matched.")
+    p.add_argument("--version", action="version", version=__version__)
     p.add_argument("paths", nargs="*", default=["."])
     p.add_argument("-a", "--algo", type=Algorithm.parse, help=", ".join(Algorithm))
     p.add_argument("-j", "--jobs", type=int, default=1, help="parallel tasks; 0 for all CPUs")
@@ -41,8 +43,11 @@ def main(argv: list[str] | None = None) -> int:
     spec = spec_of(args)
     spark = local_session("*" if spec.jobs == 0 else max(1, spec.jobs))
     spark.sparkContext.setLogLevel("ERROR")
-    for row in DigestQuery(spec).lines_over_files(spark, args.paths).toLocalIterator():  # a partition at a time
-        print(row.line)
+    for row in DigestQuery(spec).lines_over_files(spark, args.paths, errors=True).toLocalIterator():  # a partition at a time
+        if row.line is not None:
+            print(row.line)
+        else:
+            print(f"sievekit: {row.path}: {row.error}", file=sys.stderr)
     return 0
 
 

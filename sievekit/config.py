@@ -89,7 +89,11 @@ class DigestSpec:
 
     @property
     def threshold(self) -> int:
-        return DEFAULT_SCORE if self.score == 0 and self.algo.is_fuzzy and self.targets else self.score
+        return self.threshold_for(bool(self.targets))
+
+    def threshold_for(self, has_targets: bool) -> int:
+        """The threshold for a list or a table of targets."""
+        return DEFAULT_SCORE if self.score == 0 and self.algo.is_fuzzy and has_targets else self.score
 
     @property
     def joiner(self) -> str:

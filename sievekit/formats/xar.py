@@ -11,7 +11,7 @@ from pyspark.sql.types import BinaryType
 
 HEADER_BYTES = 28
 MAX_LENGTH = (1 << 31) - 1  # of a binary value in Spark
-_MAGIC = bytearray(b"xar!")
+MAGIC = bytearray(b"xar!")
 
 
 def _number(content: Column, at: int, size: int) -> Column:
@@ -20,7 +20,7 @@ def _number(content: Column, at: int, size: int) -> Column:
 
 
 def is_xar(content: Column) -> Column:
-    return (F.octet_length(content) >= HEADER_BYTES) & (F.substring(content, 1, 4) == F.lit(_MAGIC))
+    return (F.octet_length(content) >= HEADER_BYTES) & (F.substring(content, 1, 4) == F.lit(MAGIC))
 
 
 def header(content: Column) -> Column:

@@ -13,7 +13,7 @@ PIECE = 5  # characters of a key; three of them lie in a window
 SEGMENT = 6  # characters of a stored segment; two of them lie in a window
 MIN_BLOCK = 3
 MAX_FIRST, MAX_SECOND = 64, 32
-MAX_BYTES = 1 << 32
+MAX_BYTES = 1 << 32  # in memory; a file may have MIN_BLOCK << 36
 MAX_DIGITS = 12  # of a block size
 INVALID = -1
 # The piece hash's start and factor, of which six bits matter, and the digits.
@@ -37,21 +37,24 @@ def _rolling(data: np.ndarray) -> np.ndarray:
     return out + shifted
 
 
-def _states(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The piece hash after each byte, for pieces that begin at ``starts``, without a loop over bytes.
+def _states(data: np.ndarray, starts: np.ndarray, first: int = PIECE_START) -> np.ndarray:
+    """The piece hash after each byte, for pieces that begin at ``starts``, without a loop over bytes; ``first``: the
+    hash from which the first one goes on.
 
     Bit k of a product depends on no higher bit of its factors, so with the lower bits known bit k only flips or
     stays: a running exclusive or, one for each of the six bits, cut where a piece begins.
     """
     piece = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(data)))
     state, before = np.zeros(len(data), dtype=np.uint8), np.empty(len(data), dtype=np.uint8)
+    begin = np.full(len(starts), PIECE_START, dtype=np.uint8)
+    begin[:1] = first
     for k in range(6):
         before[1:] = state[:-1]
-        before[starts] = PIECE_START & ((1 << k) - 1)
+        before[starts] = begin & np.uint8((1 << k) - 1)
         flips = np.bitwise_xor.accumulate((before * np.uint8(PIECE_FACTOR) >> np.uint8(k) ^ data >> np.uint8(k)) & np.uint8(1))
         outside = flips[starts - 1]
         outside[0] = 0
-        state |= (flips ^ outside[piece] ^ np.uint8(PIECE_START >> k & 1)) << np.uint8(k)
+        state |= (flips ^ (outside ^ begin >> np.uint8(k) & np.uint8(1))[piece]) << np.uint8(k)
     return state
 
 
@@ -97,22 +100,83 @@ def ssdeep_digest(data: bytes | None, empty_is_null: bool = False) -> str | None
         block *= 2
     while True:
         ends = np.flatnonzero(rolled % np.uint32(block) == block - 1)
-        if block > MIN_BLOCK and min(len(ends), MAX_FIRST - 1) + tail < MAX_FIRST // 2:
+        if block > MIN_BLOCK and len(ends) < MAX_FIRST // 2:  # pieces that end; what is left at the end doesn't count
             block //= 2
             continue
         twice = ends[rolled[ends] % np.uint32(2 * block) == 2 * block - 1]
         return f"{block}:{_pieces(data, ends, MAX_FIRST, tail)}:{_pieces(data, twice, MAX_SECOND, tail)}"
 
 
+class _Level:
+    """One signature of a stream of chunks."""
+
+    def __init__(self, block: int, limit: int) -> None:
+        self.block, self.limit, self.digits, self.state, self.capped = block, limit, "", PIECE_START, ""
+
+    def feed(self, data: np.ndarray, rolled: np.ndarray) -> None:
+        ends = np.flatnonzero(rolled % np.uint32(self.block) == self.block - 1)
+        cuts = ends[: self.limit - 1 - len(self.digits)]
+        starts = np.concatenate([[0], cuts + 1])
+        states = _states(data, starts[starts < len(data)], self.state)
+        self.digits += "".join(DIGITS[h] for h in states[cuts])
+        if len(ends) > len(cuts):
+            self.capped = DIGITS[states[ends[-1]]]
+        self.state = PIECE_START if len(cuts) and cuts[-1] == len(data) - 1 else int(states[-1])
+
+    def signature(self, tail: bool) -> str:
+        return self.digits + (DIGITS[self.state] if tail else self.capped)
+
+
+def ssdeep_stream(chunks, size: int) -> str | None:
+    """The digest of ``size`` bytes that ``chunks()`` gives piece by piece, twice: to count the ends of pieces by block size, and to
+    hash those of the two that are used.  Memory doesn't grow with the size.  None beyond 192 GiB, or if the bytes are fewer or more."""
+
+    def rolled():
+        before, seen = np.zeros(0, dtype=np.uint8), 0
+        for chunk in chunks():
+            data = np.frombuffer(chunk, dtype=np.uint8)
+            seen += len(data)
+            if seen > size:
+                break
+            if len(data):
+                both = np.concatenate([before, data])
+                yield data, _rolling(both)[len(before) :]
+                before = both[1 - WINDOW :]
+        if seen != size:
+            raise EOFError
+
+    if size > MIN_BLOCK << 36:
+        return None
+    if size == 0:
+        return f"{MIN_BLOCK}::"
+    levels = max(0, (-(-size // (MIN_BLOCK * MAX_FIRST)) - 1).bit_length())
+    counts, tail = np.zeros(levels + 1, dtype=np.int64), False
+    try:
+        for _, hashes in rolled():
+            for k in range(levels + 1):
+                counts[k] += np.count_nonzero(hashes % np.uint32(MIN_BLOCK << k) == (MIN_BLOCK << k) - 1)
+            tail = bool(hashes[-1])
+        while levels and counts[levels] < MAX_FIRST // 2:
+            levels -= 1
+        first, second = _Level(MIN_BLOCK << levels, MAX_FIRST), _Level(MIN_BLOCK << levels + 1, MAX_SECOND)
+        for data, hashes in rolled():
+            first.feed(data, hashes)
+            second.feed(data, hashes)
+    except EOFError:
+        return None
+    return f"{first.block}:{first.signature(tail)}:{second.signature(tail)}"
+
+
 def parse(text: str | None) -> tuple[int, str, str] | None:
-    """Block size and both signatures, runs cut to three; None if malformed.
+    """Block size and both signatures, runs cut to three; None if malformed or if a signature is longer than 64 bytes then.
 
-    What follows a comma (a quoted path) is ignored.
+    What follows a comma (a quoted path) is ignored; characters beyond ASCII count as their bytes.
     """
     parts = text.split(",", 1)[0].split(":") if text else []
     if len(parts) != 3 or not parts[0].isascii() or not parts[0].isdigit() or len(parts[0]) > MAX_DIGITS or int(parts[0]) == 0:
         return None
-    return int(parts[0]), shorten(parts[1]), shorten(parts[2])
+    first, second = (shorten(p if p.isascii() else p.encode("utf-8", "surrogatepass").decode("latin-1")) for p in parts[1:])
+    return None if max(len(first), len(second)) > MAX_FIRST else (int(parts[0]), first, second)
 
 
 def shorten(sig: str) -> str:
@@ -124,8 +188,8 @@ def shorten(sig: str) -> str:
 
 def _matrix(sigs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters, zero-padded to 64, and lengths."""
-    raw = b"".join(s.encode("latin-1", "replace")[:64].ljust(64, b"\0") for s in sigs)
-    return np.frombuffer(raw, dtype=np.uint8).reshape(-1, 64), np.array([min(len(s), 64) for s in sigs], dtype=np.int64)
+    raw = b"".join(s.encode("latin-1").ljust(64, b"\0") for s in sigs)
+    return np.frombuffer(raw, dtype=np.uint8).reshape(-1, 64), np.array([len(s) for s in sigs], dtype=np.int64)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -219,7 +283,7 @@ def segment_keys(texts: list[str], spaces: np.ndarray, step: int) -> dict[str, n
         p = parse(t)
         if p:
             if len(p[1]) < WINDOW:
-                whole.append((i, p[0], int.from_bytes(p[1].encode("latin-1", "replace"), "big") << 8 | len(p[1])))
+                whole.append((i, p[0], int.from_bytes(p[1].encode("latin-1"), "big") << 8 | len(p[1])))
             for s, block in ((p[1], p[0]), (p[2], 2 * p[0])):
                 if len(s) >= WINDOW:
                     rows.append(i)

@@ -86,8 +86,12 @@ def fat_slices(df: DataFrame) -> DataFrame:
 
 def with_slices(df: DataFrame, algorithm: str | Algorithm) -> DataFrame:
     """Rows of the whole files, and a row for each slice of fat files."""
-    parts = fat_slices(df)
-    return whole_files(df, algorithm).unionByName(_result(parts, F.col("slice_idx"), F.col("arch"), digest(F.col("content"), algorithm, part=True)))
+    return whole_files(df, algorithm).unionByName(slices_only(df, algorithm))
+
+
+def slices_only(df: DataFrame, algorithm: str | Algorithm) -> DataFrame:
+    """A row for each slice of fat files."""
+    return _result(fat_slices(df), F.col("slice_idx"), F.col("arch"), digest(F.col("content"), algorithm, part=True))
 
 
 @F.pandas_udf(_slices("digest", StringType()))

@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType
 
 from sievekit.config import Algorithm
 from sievekit.functions import ctph, tlsh
+from sievekit.session import written
 
 INLINE_TARGETS = 1_000
 _MAX_DIGITS = 128
@@ -82,6 +83,8 @@ def match(df: DataFrame, targets: list[str] | tuple[str, ...] | DataFrame, algor
         if len(targets) > INLINE_TARGETS:
             return match(df, df.sparkSession.createDataFrame([(t,) for t in targets], "target string"), algo, threshold, digest)
     inline = not isinstance(targets, DataFrame)
+    if not inline and (algo.is_fuzzy or algo is Algorithm.CDHASH):
+        df = written(df)  # read twice below, but what leads to it, such as the digests of a file tree, is computed once
     d = F.col(digest)
     if algo is Algorithm.SSDEEP:
         return _scored(df, _best_score(targets, threshold)(d)) if inline else _join_ssdeep(df, targets, threshold, digest)
@@ -119,7 +122,7 @@ def _prefix_join(df: DataFrame, targets: DataFrame, digest: str) -> DataFrame:
     Lengths beyond those of any digest are cut, so there are at most 129 of either.
     """
     known = targets.where(F.col("target").isNotNull()).select(F.lower("target").alias("_t")).distinct()
-    rows = df.where(F.col(digest).isNotNull()).withColumn("_d", F.lower(digest)).withColumn("_row", F.monotonically_increasing_id())
+    rows = df.where(F.col(digest).isNotNull()).select(F.lower(digest).alias("_d")).distinct()
     size = lambda c: F.least(F.length(c), F.lit(_MAX_DIGITS))
     lengths = [r[0] for r in known.select(size("_t")).distinct().collect()]
     own = [r[0] for r in rows.select(size("_d")).distinct().collect()]
@@ -130,8 +133,8 @@ def _prefix_join(df: DataFrame, targets: DataFrame, digest: str) -> DataFrame:
     # A digest that begins with a target has one of its prefixes among them; one that a target begins with is among them itself.
     probe = F.array_distinct(F.concat(F.transform(_prefixes(F.col("_d"), lengths), lambda p: F.struct(p.alias("p"), F.lit(0).alias("how"))), F.array(F.struct(F.col("_d").alias("p"), F.lit(1).alias("how")))))
     whole = known.select(F.col("_t").alias("_p"), F.lit(0).alias("_how")).unionByName(keys.select("_p", F.lit(1).alias("_how"))).distinct()
-    hits = rows.select("*", F.explode(probe).alias("_x")).join(whole, (F.col("_x.p") == F.col("_p")) & (F.col("_x.how") == F.col("_how")), "left_semi")
-    return hits.dropDuplicates(["_row"]).drop("_x", "_d", "_row")
+    hits = rows.select("_d", F.explode(probe).alias("_x")).join(whole, (F.col("_x.p") == F.col("_p")) & (F.col("_x.how") == F.col("_how")), "left_semi")
+    return df.join(hits.select("_d"), F.lower(digest) == F.col("_d"), "left_semi")
 
 
 def _window_keys(column: str):

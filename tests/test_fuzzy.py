@@ -94,19 +94,20 @@ def slow_ssdeep(data):
                     if len(out[k]) < limit - 1:
                         out[k].append(pending[k])
                         h[k], pending[k] = 0x28021967, None
+        ended = len(out[0])  # what is left at the end doesn't count towards the block size
         for k in (0, 1):
             if roll:
                 out[k].append(digits[h[k] & 63])
             elif pending[k]:
                 out[k].append(pending[k])
-        return out
+        return out, ended
 
     block = 3
     while block * 64 < len(data):
         block *= 2
     while True:
-        a, b = once(block)
-        if len(a) >= 32 or block == 3:
+        (a, b), ended = once(block)
+        if ended >= 32 or block == 3:
             return f"{block}:{''.join(a)}:{''.join(b)}"
         block //= 2
 
@@ -119,6 +120,24 @@ def test_ssdeep_equals_slow_version(n, kind):
     assert ctph.ssdeep_digest(data) == slow_ssdeep(data)
 
 
+@pytest.mark.parametrize("n", [1, 191, 193, 5000, 40_000, 300_000])
+@pytest.mark.parametrize("kind", ["random", "repeated", "text", "zeros"])
+def test_ssdeep_of_a_stream(n, kind):
+    r = random.Random(n)
+    data = {"random": r.randbytes(n), "repeated": b"A" * n, "text": bytes(r.choices(b"abcd \n", k=n)), "zeros": b"ab" * (n // 4) + b"\0" * (n - n // 4 * 2)}[kind]
+    for step in (1, 5, 700) if n < 1000 else (4096, 100_001):
+        assert ctph.ssdeep_stream(lambda: (data[i : i + step] for i in range(0, n, step)), n) == ctph.ssdeep_digest(data)
+    assert ctph.ssdeep_stream(lambda: iter([data]), n + 1) is None and ctph.ssdeep_stream(lambda: iter([data]), 1 << 40) is None
+    assert ctph.ssdeep_stream(lambda: iter([]), 0) == "3::"
+
+
+def test_ssdeep_long_signatures():
+    long = "ABCDEFGH" * 8
+    assert ctph.score(f"3:{long}:x", f"3:{long}:x") == 100 and ctph.score(f"3:{long}I:x", f"3:{long}I:x") == -1 and ctph.score(f"3:{long}:x", f"3:{long}J:x") == -1
+    assert ctph.score("3:" + "A" * 90 + ":x", "3:AAA:x") == 100  # runs are cut first
+    assert ctph.score("12:éabcdefgh:x", "12:èabcdefgh:y") < 100 and ctph.score("12:éabcdefgh:x", "12:éabcdefgh:y") > 0
+
+
 def test_ssdeep_nulls_and_repeats():
     assert ctph.ssdeep_digest(None) is None and ctph.ssdeep_digest(b"", empty_is_null=True) is None and ctph.ssdeep_digest(b"") == "3::"
     for c in b"ABC":

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievekit import queries
+from sievekit.config import DigestSpec
 from sievekit.functions import ctph, tlsh
 from sievekit.operators.matching import first_of_file, match, ssdeep_score, tlsh_distance
+from sievekit.plans.pipeline import DigestQuery
 
 
 def frame(spark, digests, name="digest"):
@@ -99,3 +101,30 @@ def test_distances_of_examples(spark):
     score, distance = ssdeep_score.asNondeterministic(), tlsh_distance.asNondeterministic()
     got = rows.select(distance("a", "b"), distance(F.lit("invalid"), F.lit("alsobad")), score("s", "s"), score(F.lit("3:abc:def"), F.lit("96:zzz:yyy"))).first()
     assert tuple(got) == (0, -1, 100, 0)
+
+
+@pytest.mark.parametrize("algo,near,far", [("ssdeep", "12:abcdefghijklm:x", "12:abcdefgzzzzzz:y"), ("tlsh", "T1" + "0" * 70, "T1" + "0" * 66 + "0055")])
+def test_score_of_zero_for_a_list_and_a_table(spark, algo, near, far):
+    """Not given in a query, whatever the targets come from; zero in the functions."""
+    rows = spark.createDataFrame([(1, 0, "p", "p", None, near)], "seq long, slice_idx int, path string, file_path string, arch string, digest string")
+    table = spark.createDataFrame([(far,)], "target string")
+    spec = DigestSpec(algorithm=algo, score=0)
+    of_list = DigestQuery(DigestSpec(algorithm=algo, score=0, targets=(far,))).matched(rows).collect()
+    of_table = DigestQuery(spec).matched(rows, table).collect()
+    assert [r.score for r in of_list] == [r.score for r in of_table]
+    assert [r.score for r in match(rows, [far], algo, 0).collect()] == [r.score for r in match(rows, table, algo, 0).collect()]
+
+
+@pytest.mark.parametrize("algo", ["ssdeep", "tlsh", "cdhash"])
+def test_digests_are_computed_once_for_a_table_of_targets(spark, algo):
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def dear(s):
+        count.add(1)
+        return s
+
+    rows = spark.range(20).select(F.col("id").alias("seq"), dear.asNondeterministic()(F.format_string("T1%070X", "id")).alias("digest"))
+    targets = spark.createDataFrame([("T1" + "0" * 70,)], "target string")
+    assert match(rows, targets, algo, 40).count() >= 1 - (algo == "ssdeep")
+    assert count.value == 20

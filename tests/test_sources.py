@@ -1,4 +1,5 @@
 import hashlib
+import json
 import os
 
 import pytest
@@ -7,6 +8,7 @@ from sievekit import cli
 from sievekit.config import DigestSpec
 from sievekit.plans.pipeline import DigestQuery
 from sievekit.sources.chunked import digest_paths
+from sievekit.sources import filetree
 from sievekit.sources.filetree import files, walk_errors
 
 
@@ -98,3 +100,71 @@ def test_command_line(spark, tree, capsys):
     assert spec.targets == ("a", "b") and spec.score == 0 and not spec.sort_symbols and spec.mode == "symhash" and spec.follow and spec.decompress
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["-a", "crc"])
+
+
+def test_only_containers_are_loaded(spark, tmp_path):
+    """A plain file of 3 GiB isn't read; an archive of that size is too large for a row, which is an error."""
+    for name, head in {"plain": b"text", "archive": b"xar!"}.items():
+        with open(tmp_path / name, "wb") as f:
+            f.write(head)
+            f.truncate(3 << 30)
+    toc = b"table"
+    (tmp_path / "small").write_bytes(b"xar!" + (28).to_bytes(2, "big") + (1).to_bytes(2, "big") + len(toc).to_bytes(8, "big") * 2 + (1).to_bytes(4, "big") + toc)
+    query = DigestQuery(DigestSpec(xar_toc=True))
+    assert [(os.path.basename(r.path), r.digest) for r in query.over_files(spark, str(tmp_path)).collect()] == [("small", hashlib.sha1(toc).hexdigest())]
+    assert [(os.path.basename(r.path), r.error) for r in query.errors_over_files(spark, str(tmp_path)).collect()] == [("archive", "too large")]
+    for spec in (DigestSpec(algorithm="cdhash"), DigestSpec(symhash=True)):
+        assert DigestQuery(spec).over_files(spark, str(tmp_path)).count() == DigestQuery(spec).errors_over_files(spark, str(tmp_path)).count() == 0
+
+
+def test_slices_over_files_digest_whole_files_in_chunks(spark, tmp_path):
+    one, two = b"a" * 100, b"b" * 50
+    entry = lambda cpu, at, n: b"".join(v.to_bytes(4, "big") for v in (cpu, 3, at, n, 0))
+    fat = b"\xca\xfe\xba\xbe" + (2).to_bytes(4, "big") + entry(0x01000007, 48, 100) + entry(0x0100000C, 148, 50) + one + two
+    (tmp_path / "fat").write_bytes(fat)
+    (tmp_path / "plain").write_bytes(b"x" * (5 << 20))
+    got = {(os.path.basename(r.file_path), r.slice_idx): r.digest for r in DigestQuery(DigestSpec(slices=True)).over_files(spark, str(tmp_path)).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {("fat", 0): sha(fat), ("fat", 1): sha(one), ("fat", 2): sha(two), ("plain", 0): sha(b"x" * (5 << 20))}
+
+
+def test_files_that_go_away_are_errors(spark, tree, monkeypatch, capsys):
+    reader = filetree.TreeReader({"roots": json.dumps([str(tree)]), "partitions": "2"})
+    parts = reader.partitions()
+    os.remove(tree / "a.txt")
+    seen = [r[1] for p in parts for r in reader.read(p)]
+    assert sorted(os.path.relpath(p, tree) for p in seen) == sorted(set(PLAIN) - {"a.txt"})
+    reader.want_errors = True
+    assert str(tree / "a.txt") in {r[0] for p in parts for r in reader.read(p)}
+    locked = tree / "sub" / "b"
+    locked.chmod(0)
+    lines = DigestQuery(DigestSpec(algorithm="md5")).lines_over_files(spark, [str(tree), str(tree / "missing")], errors=True).collect()
+    errors = {r.path for r in lines if r.error}
+    assert str(tree / "missing") in errors and (os.access(locked, os.R_OK) or str(locked) in errors)
+    assert sum(r.line is not None for r in lines) >= len(PLAIN) - 2
+
+
+def test_folders_of_many_entries_are_shared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(filetree, "MANY_ENTRIES", 20)
+    for k in range(50):
+        (tmp_path / str(k)).write_bytes(b"x")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "y").write_bytes(b"y")
+    reader = filetree.TreeReader({"roots": json.dumps([str(tmp_path)]), "partitions": "4"})
+    parts = reader.partitions()
+    assert sum(len(p.start) for p in parts) == 4
+    read = [[r[1] for r in reader.read(p)] for p in parts]
+    assert sorted(p for part in read for p in part) == sorted([*(str(tmp_path / str(k)) for k in range(50)), str(tmp_path / "sub" / "y")])
+    assert min(map(len, read)) > 2
+
+
+def test_targets_table_over_files(spark, tree):
+    targets = spark.createDataFrame([(hashlib.md5(b"hello").hexdigest().upper(),), (None,)], "target string")
+    query = DigestQuery(DigestSpec(algorithm="md5"))
+    assert [os.path.basename(r.path) for r in query.over_files(spark, str(tree), targets).collect()] == ["a.txt"]
+    assert [r.line for r in query.lines_over_files(spark, str(tree), targets).collect()] == [hashlib.md5(b"hello").hexdigest() + "  " + str(tree / "a.txt")]
+
+
+def test_file_url(tree):
+    assert filetree.file_url("/a b/ü") == "file:///a%20b/%C3%BC" and filetree.file_url("/x/").endswith("/x/") and filetree.file_url("/") == "file:///"
+    assert filetree.file_url("x") == "file://" + os.path.abspath("x")
