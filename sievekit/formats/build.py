@@ -77,6 +77,8 @@ def _bytes_udf(f):
 _fat = _bytes_udf(lambda v: fat_file([(X86_64, 3, bytes(v)), (ARM64, 2, bytes(v)[::-1])]))
 _symbols = _bytes_udf(lambda v: with_symbols([(0x01, w) for w in v] + [(0x0F, "_defined"), (0x21, "_stab")]))
 _signed = _bytes_udf(lambda v: fat_file([(X86_64, 3, signed_file(signature_blob([(0, directory(bytes(v), 1)), (0x1000, directory(bytes(v), 2))]))), (ARM64, 0, signed_file(signature_blob([(0, directory(bytes(v), 4))])))]))
+_kinds = _bytes_udf(lambda v: fat_file([(cpu, 0, signed_file(signature_blob([(0, directory(bytes(v), kind))]))) for kind, cpu in ((1, X86_64), (2, ARM64), (3, 7))]))
+_fat_symbols = _bytes_udf(lambda v: fat_file([(X86_64, 3, with_symbols([(0x01, w) for w in v])), (ARM64, 2, with_symbols([(0x01, w) for w in v[:1]])), (ARM64, 0, thin_file([]))]))
 _xar = _bytes_udf(lambda v: xar_file(zlib.compress(bytes(v)), len(v)))
 
 
@@ -95,6 +97,16 @@ def signed_of(content: Column) -> Column:
     return _signed(content)
 
 
+def signed_kinds_of(content: Column) -> Column:
+    """A fat file whose slices are signed with SHA-1 (x86_64), with SHA-256 (arm64), and with a hash type that has no digest (i386)."""
+    return _kinds(content)
+
+
+def fat_symbols_of(names: Column) -> Column:
+    """A fat file that imports the names of an array (x86_64), the first of them (arm64e), and has no symbol table (arm64)."""
+    return _fat_symbols(names)
+
+
 def xar_of(content: Column) -> Column:
     """An archive whose table of contents is the compressed bytes."""
     return _xar(content)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.config import Algorithm, DigestSpec
 from sievekit.formats import build, xar
+from sievekit.functions import tlsh
 from sievekit.operators import decode
-from sievekit.operators.formatting import match_line
+from sievekit.operators.formatting import result_line
 from sievekit.operators.matching import match
 from sievekit.operators.skew import numbered, per_key_results
 from sievekit.plans.pipeline import DigestQuery
@@ -78,6 +81,29 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), F.encode("text", "UTF-8").alias("content"))
 
 
+def _tlsh_sql() -> str:
+    """TLSH of every document, in DuckDB's SQL: bytes with the four before them, buckets of six mappings, quartiles, codes."""
+    one = lambda x: f"pe[1 + {x}]"
+    step = lambda salt, *parts: reduce(lambda h, part: one(f"xor({h}, {part})"), parts, one(str(salt)))
+    buckets = ", ".join(step(salt, "c0", f"c{i}", f"c{j}") for salt, i, j in tlsh.TRIPLETS)
+    swap = lambda x: f"(({x}) % 16 * 16 + ({x}) // 16)"
+    length = "CASE WHEN n <= 656 THEN floor(ln(n) / ln(1.5)) WHEN n <= 3199 THEN floor(ln(n) / ln(1.3) - 8.72777) ELSE floor(ln(n) / ln(1.1) - 62.5472) END"
+    code = "CASE WHEN k[i] > q3 THEN 3 WHEN k[i] > q2 THEN 2 WHEN k[i] > q1 THEN 1 ELSE 0 END"
+    return f"""WITH {DOCUMENTS_SQL}, t AS (SELECT {tlsh.PEARSON.tolist()} AS pe),
+b AS (SELECT seq, i, CAST('0x' || substr(hex(content), 2 * i - 1, 2) AS INTEGER) AS c0 FROM documents_, unnest(range(1, octet_length(content) + 1)) u(i) WHERE octet_length(content) >= {tlsh.MIN_BYTES}),
+w AS (SELECT *, lag(c0, 1) OVER o AS c1, lag(c0, 2) OVER o AS c2, lag(c0, 3) OVER o AS c3, lag(c0, 4) OVER o AS c4 FROM b WINDOW o AS (PARTITION BY seq ORDER BY i)),
+h AS (SELECT seq, unnest([{buckets}]) AS bucket FROM w, t WHERE c4 IS NOT NULL),
+n AS (SELECT seq, bucket, count(*) AS n FROM h WHERE bucket < 128 GROUP BY ALL),
+f AS (SELECT seq, list(coalesce(n, 0) ORDER BY bucket) AS k FROM (SELECT DISTINCT seq FROM b) CROSS JOIN (SELECT unnest(range(128)) AS bucket) LEFT JOIN n USING (seq, bucket) GROUP BY seq),
+q AS (SELECT seq, k, list_sort(k)[32] AS q1, list_sort(k)[64] AS q2, list_sort(k)[96] AS q3 FROM f WHERE list_sort(k)[96] > 0 AND len(list_filter(k, lambda x: x > 0)) > 64),
+c AS (SELECT seq, list_reduce(list_prepend(0, list(ahead ORDER BY i)), lambda c, x: [{', '.join(map(str, tlsh.PEARSON.tolist()))}][1 + xor(x, c)]) AS checksum
+  FROM (SELECT seq, i, {step(0, 'c0', 'c1')} AS ahead FROM w, t WHERE c4 IS NOT NULL) GROUP BY seq),
+d AS (SELECT seq, count(*) AS n FROM b GROUP BY seq)
+SELECT seq, 'T1' || printf('%02X%02X%02X', {swap('checksum')}, {swap(f'CAST({length} AS INTEGER) % 256')}, CAST(floor(q1 * 100 / q3) AS INTEGER) % 16 * 16 + CAST(floor(q2 * 100 / q3) AS INTEGER) % 16)
+  || array_to_string(list_transform(range(31, -1, -1), lambda r: printf('%02X', CAST(list_sum(list_transform(range(4 * r + 1, 4 * r + 5), lambda i: ({code}) * [1, 4, 16, 64][1 + (i - 1) % 4])) AS INTEGER))), '') AS digest
+FROM q JOIN c USING (seq) JOIN d USING (seq)"""
+
+
 DOCUMENTS_SQL = "documents_ AS (SELECT doc_id AS seq, 'doc/' || doc_id AS path, encode(text) AS content FROM documents)"
 _SQL_DIGESTS = {
     "md5": "md5(content)", "sha1": "sha1(content)", "sha256": "sha256(content)",
@@ -93,7 +119,8 @@ def _digest_query(algo: str):
 
     run.__name__, run.__doc__ = f"digest_{algo}", f"{algo} of every document's text."
     expression = _SQL_DIGESTS[algo]
-    return query(f"WITH {DOCUMENTS_SQL} SELECT seq, {expression} AS digest FROM documents_ WHERE content IS NOT NULL" if expression else None)(run)
+    sql = _tlsh_sql() if algo == "tlsh" else f"WITH {DOCUMENTS_SQL} SELECT seq, {expression} AS digest FROM documents_ WHERE content IS NOT NULL" if expression else None
+    return query(sql)(run)
 
 
 for _algo in _SQL_DIGESTS:
@@ -139,6 +166,16 @@ def symhash_md5(spark: SparkSession, d: str) -> DataFrame:
     return DigestQuery(DigestSpec(symhash=True)).results(_imports(spark, d)).select("seq", "digest")
 
 
+@query(f"""SELECT doc_id AS seq, 'doc/' || doc_id || ' (' || arch || ')' AS path, arch, md5(array_to_string(names, ',')) AS digest FROM (
+  SELECT doc_id, 'x86_64' AS arch, list_sort({_NAMES_SQL}) AS names FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 'arm64e', ({_NAMES_SQL})[1:1] FROM documents WHERE text IS NOT NULL)""")
+def symhash_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Symbol hashes of fat files: a row for each slice that has a symbol table."""
+    names = F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "")
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), build.fat_symbols_of(names).alias("content"))
+    return DigestQuery(DigestSpec(symhash=True, slices=True)).results(files).select("seq", "path", "arch", "digest")
+
+
 @query(f"SELECT doc_id AS seq, sha256(array_to_string({_NAMES_SQL}, chr(10))) AS digest FROM documents WHERE text IS NOT NULL")
 def symhash_sha256_unsorted(spark: SparkSession, d: str) -> DataFrame:
     """Digest of the imported symbols in table order, a line each."""
@@ -146,14 +183,25 @@ def symhash_sha256_unsorted(spark: SparkSession, d: str) -> DataFrame:
     return DigestQuery(spec).results(_imports(spark, d)).select("seq", "digest")
 
 
-_DIRECTORY_SQL = "unhex('fade0c02' || printf('%08x', 44 + octet_length(content)) || repeat('00', 29) || '02' || repeat('00', 6)) || content"
+def _directory_sql(kind: str) -> str:
+    return f"unhex('fade0c02' || printf('%08x', 44 + octet_length(content)) || repeat('00', 29) || '{kind}' || repeat('00', 6)) || content"
 
 
-@query(f"WITH {DOCUMENTS_SQL} SELECT seq, path || ' (x86_64)' AS path, sha256({_DIRECTORY_SQL}) AS digest FROM documents_ WHERE content IS NOT NULL")
+@query(f"""WITH {DOCUMENTS_SQL} SELECT seq, path || ' (x86_64)' AS path, sha256({_directory_sql('02')}) AS digest, 64 AS digits FROM documents_ WHERE content IS NOT NULL
+UNION ALL SELECT seq, path || ' (arm64)', NULL, 96 FROM documents_ WHERE content IS NOT NULL""")
 def cdhash_sha256(spark: SparkSession, d: str) -> DataFrame:
-    """Code directory hashes of the x86_64 slices; the stronger of two directories counts."""
+    """Code directory hashes of all slices; the stronger of two directories counts.  SHA-384 ones by their length, as SQL has no such function."""
     rows = DigestQuery(DigestSpec(algorithm="cdhash")).results(_containers(spark, d, build.signed_of))
-    return rows.where("arch = 'x86_64'").select("seq", "path", "digest")
+    digits = F.length("digest")
+    return rows.select("seq", "path", F.when(digits != 96, F.col("digest")).alias("digest"), digits.alias("digits"))
+
+
+@query(f"""WITH {DOCUMENTS_SQL} SELECT seq, slice_idx, path || ' (' || arch || ')' AS path, digest FROM (
+  SELECT seq, path, 1 AS slice_idx, 'x86_64' AS arch, sha1({_directory_sql('01')}) AS digest FROM documents_ WHERE content IS NOT NULL
+  UNION ALL SELECT seq, path, 2, 'arm64', sha256({_directory_sql('02')}) FROM documents_ WHERE content IS NOT NULL)""")
+def cdhash_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Code directory hashes by SHA-1 and SHA-256; a third slice has a hash type without a digest, so no row."""
+    return DigestQuery(DigestSpec(algorithm="cdhash")).results(_containers(spark, d, build.signed_kinds_of)).select("seq", "slice_idx", "path", "digest")
 
 
 @query(f"WITH {DOCUMENTS_SQL} SELECT path AS line FROM documents_ WHERE content IS NOT NULL AND octet_length(content) > 0")
@@ -221,7 +269,29 @@ def match_prefix(spark: SparkSession, d: str) -> DataFrame:
     return match(_plain_results(spark, d), _known(spark, d).select(F.substring("target", 1, 12).alias("target")), "cdhash").drop("score")
 
 
-@query()
+def ssdeep_scores_sql(left: str, right: str) -> str:
+    """CTEs that end in ``scored`` (``x``, ``y``, ``score``), in DuckDB's SQL: scores above 0 of the plain ssdeep digests ``p`` of two
+    queries.  Signatures of one block size that share a window of seven characters; their edits by the longest common subsequence."""
+    shorten = lambda t: f"array_to_string(list_transform(list_filter(range(1, length({t}) + 1), lambda i: NOT (i > 3 AND substr({t}, i, 1) = substr({t}, i - 1, 1) AND substr({t}, i, 1) = substr({t}, i - 2, 1) AND substr({t}, i, 1) = substr({t}, i - 3, 1))), lambda i: substr({t}, i, 1)), '')"
+    side = lambda k, q: f"""h{k} AS MATERIALIZED (SELECT p, CAST(split_part(p, ':', 1) AS BIGINT) AS b, {shorten("split_part(p, ':', 2)")} AS s1, {shorten("split_part(p, ':', 3)")} AS s2 FROM (SELECT DISTINCT p FROM ({q}))),
+w{k} AS MATERIALIZED (SELECT DISTINCT p, b, s, substr(s, i, 7) AS w FROM (SELECT p, b, s1 AS s FROM h{k} UNION ALL SELECT p, 2 * b, s2 FROM h{k}), unnest(range(1, length(s) - 5)) u(i))"""
+    # A row of lengths, one for each end in t, goes on with each character of s: the greatest so far of the length above and, where the characters are equal, the one before and 1.
+    equal = "list_transform(range(1, length(s) + 1), lambda i: list_transform(range(1, length(t) + 1), lambda j: CASE WHEN substr(t, j, 1) = substr(s, i, 1) THEN 1 ELSE 0 END))"
+    row = "list_transform([list_transform(range(1, len(e) + 1), lambda j: greatest(r[j], CASE WHEN j > 1 THEN r[j - 1] ELSE 0 END + e[j]))], lambda c: list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])))[1]"
+    common = f"list_reduce(list_prepend(list_transform(range(1, length(t) + 1), lambda j: 0), {equal}), lambda r, e: {row})[-1]"
+    return f"""{side(1, left)}, {side(2, right)},
+pairs AS MATERIALIZED (SELECT DISTINCT x.b, x.s, y.s AS t FROM w1 x JOIN w2 y USING (b, w)),
+edits AS MATERIALIZED (SELECT *, 100 - 100 * ((length(s) + length(t) - 2 * {common}) * 64 // (length(s) + length(t))) // 64 AS score FROM pairs),
+scored AS MATERIALIZED (SELECT x, y, CAST(max(score) AS INTEGER) AS score FROM (
+  SELECT x.p AS x, y.p AS y, CASE WHEN b < 45 THEN least(score, b // 3 * least(length(s), length(t))) ELSE score END AS score
+  FROM (SELECT DISTINCT p, b, s FROM w1) x JOIN edits USING (b, s) JOIN (SELECT DISTINCT p, b, s AS t FROM w2) y USING (b, t)
+  UNION ALL SELECT x.p, y.p, 100 FROM h1 x JOIN h2 y USING (b, s1, s2)) GROUP BY ALL)"""
+
+
+_NEAR_KNOWN_SQL = _TWO_PLAIN_SQL + ", " + ssdeep_scores_sql("SELECT plain AS p FROM r WHERE algo = 'ssdeep'", "SELECT plain AS p FROM k WHERE algo = 'ssdeep' AND plain IS NOT NULL") + ", best AS (SELECT x AS digest, max(score) AS score FROM scored WHERE score >= 40 GROUP BY ALL) "
+
+
+@query(_NEAR_KNOWN_SQL + "SELECT row_id, best.digest, score FROM r JOIN best ON plain = best.digest")
 def match_ssdeep(spark: SparkSession, d: str) -> DataFrame:
     """ssdeep rows near a known digest, with the best score."""
     return match(_plain_results(spark, d, "ssdeep"), _known(spark, d, "ssdeep"), "ssdeep", 40)
@@ -270,11 +340,12 @@ def format_quiet(spark: SparkSession, d: str) -> DataFrame:
     return DigestQuery(DigestSpec(algorithm="md5", quiet=True)).lines(documents(spark, d))
 
 
-@query("WITH " + plain_sql("digest_result") + " SELECT plain || repeat(' ', greatest(0, 107 - length(plain))) || printf(' %3d', slice_idx) || '  ' || path AS line FROM plain WHERE plain IS NOT NULL AND algo = 'ssdeep'")
+@query(_NEAR_KNOWN_SQL + "SELECT plain || repeat(' ', greatest(0, 107 - length(plain))) || printf(' %3d', score) || '  ' || path AS line FROM r JOIN best ON plain = best.digest WHERE path IS NOT NULL")
 def format_match_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Padded digest, a number in the place of the score, path."""
-    rows = with_plain(table(spark, d, "digest_result")).where("plain IS NOT NULL AND algo = 'ssdeep'")
-    return rows.select(match_line(F.col("plain"), F.col("slice_idx"), F.col("path"), "ssdeep").alias("line"))
+    """Lines of the ssdeep rows near a known digest: padded digest, score, path."""
+    rows = with_plain(table(spark, d, "digest_result"), "digest").where("digest IS NOT NULL AND algo = 'ssdeep' AND path IS NOT NULL").select("digest", "path", "file_path")
+    found = match(rows, _known(spark, d, "ssdeep"), "ssdeep", 40)
+    return found.select(result_line(Algorithm.SSDEEP, True, False).alias("line"))
 
 
 @query("SELECT row_number() OVER (ORDER BY encode(path), seq) AS place, path FROM work_item WHERE path IS NOT NULL")
