@@ -9,7 +9,7 @@ from sievekit.functions.spelling import plain_name
 from sievekit.llm import bloom, hamming, mixing, packing, segments, topk, toxicity
 from sievekit.llm.groups import linked_groups
 from sievekit.llm.tokens import with_token_counts
-from sievekit.queries import plain_sql, tlsh_distance_sql
+from sievekit.queries import plain_sql, ssdeep_scores_sql, tlsh_distance_sql
 from sievekit.session import spread, written
 from sievekit.sources.tables import table, with_plain
 
@@ -93,13 +93,37 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     return at_once.where("status IS NOT NULL").unionByName(rest).drop("s", "batch", "p", "n")
 
 
-@query()
+def _judged_sql(batches: int = 12) -> str:
+    """CTEs that end in ``judged`` (``space``, ``batch``, ``plain``, ``status``): batch after batch, each against what was accepted before it."""
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS table_name, row_id, batch_no, algo, plain FROM (WITH " + plain_sql(name) + " SELECT * FROM plain) WHERE plain IS NOT NULL" for name in _SPACES)
+    spaces = " ".join(f"WHEN '{mode}' THEN '{name}'" for name, mode in _SPACES.items())
+    out = f"""WITH rows AS MATERIALIZED ({rows}),
+known AS MATERIALIZED (SELECT CASE scan_mode {spaces} END AS table_name, algo, plain FROM (WITH {plain_sql('known_digest')} SELECT * FROM plain) WHERE plain IS NOT NULL),
+every AS MATERIALIZED (SELECT DISTINCT table_name, algo, plain FROM (SELECT table_name, algo, plain FROM rows UNION ALL SELECT table_name, algo, plain FROM known)),
+numbers AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY batch_no NULLS LAST) AS k FROM (SELECT DISTINCT table_name, batch_no, algo, plain FROM rows)),
+{ssdeep_scores_sql("SELECT plain AS p FROM every WHERE algo = 'ssdeep'", "SELECT plain AS p FROM every WHERE algo = 'ssdeep'")},
+near AS MATERIALIZED (SELECT x, y FROM scored WHERE score >= 40 UNION ALL
+  SELECT a.plain, b.plain FROM every a JOIN every b USING (table_name) WHERE a.algo = 'tlsh' AND b.algo = 'tlsh' AND {tlsh_distance_sql('a.plain', 'b.plain')} <= 40),
+accepted0 AS (SELECT DISTINCT table_name, plain FROM known)"""
+    for k in range(1, batches + 1):
+        old = f"accepted{k - 1}"
+        out += f""",
+judged{k} AS MATERIALIZED (SELECT n.table_name, n.batch_no, n.plain, CASE WHEN EXISTS (SELECT 1 FROM {old} o WHERE o.table_name = n.table_name AND o.plain = n.plain) THEN 'equal'
+  WHEN EXISTS (SELECT 1 FROM near JOIN {old} o ON near.y = o.plain WHERE near.x = n.plain AND o.table_name = n.table_name) THEN 'near' ELSE 'new' END AS status FROM numbers n WHERE k = {k}),
+accepted{k} AS MATERIALIZED (SELECT * FROM {old} UNION SELECT table_name, plain FROM judged{k} WHERE status = 'new')"""
+    return out + ", judged AS (" + " UNION ALL ".join(f"SELECT * FROM judged{k}" for k in range(1, batches + 1)) + ") "
+
+
+_JUDGED_ROWS_SQL = _judged_sql() + " SELECT {what} FROM rows r JOIN judged j ON r.table_name = j.table_name AND r.batch_no IS NOT DISTINCT FROM j.batch_no AND r.plain = j.plain {rest}"
+
+
+@query(_JUDGED_ROWS_SQL.replace("{what}", "r.table_name, r.row_id").replace("{rest}", "WHERE status <> 'new'"))
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose digest equals or is near to an accepted one.  Rows with a null batch_no are judged as one batch after all others."""
     return _split(spark, d).where(F.col("status") != segments.NEW).select("table_name", "row_id")
 
 
-@query()
+@query(_JUDGED_ROWS_SQL.replace("{what}", "r.table_name, r.batch_no, status, count(*) AS n_rows").replace("{rest}", "GROUP BY ALL"))
 def p3_batches(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each table and batch by what became of them; rows with a null batch_no are the last batch, whose number stays null."""
     return _split(spark, d).groupBy("table_name", "batch_no", "status").agg(F.count("*").alias("n_rows"))
@@ -149,17 +173,24 @@ def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query()
+_PATHS_SQL = """v AS (SELECT file_path AS t, min(row_id) AS id FROM digest_result WHERE algo IN ('ssdeep', 'tlsh') AND file_path IS NOT NULL GROUP BY 1),
+g AS (SELECT id, unnest(list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)))) AS gram FROM v),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.id AS i, b.id AS j, count(*) AS b FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2),
+alike AS MATERIALIZED (SELECT i AS row_id_1, j AS row_id_2 FROM c JOIN n x ON x.id = i JOIN n y ON y.id = j WHERE 10 * b >= 7 * (x.n + y.n - b))"""
+_OF_ALGO_SQL = lambda algo: "SELECT plain AS p, min(row_id) AS id FROM (WITH " + plain_sql("digest_result") + f" SELECT * FROM plain WHERE algo = '{algo}' AND plain IS NOT NULL) GROUP BY plain"
+_NEAR_SQL = f"""t AS ({_OF_ALGO_SQL('tlsh')}), s AS MATERIALIZED ({_OF_ALGO_SQL('ssdeep')}), {ssdeep_scores_sql('SELECT p FROM s', 'SELECT p FROM s')}, {_PATHS_SQL},
+found AS MATERIALIZED (SELECT 'digest' AS field_name, a.id AS row_id_1, b.id AS row_id_2 FROM t a JOIN t b ON a.id < b.id WHERE {tlsh_distance_sql('a.p', 'b.p')} <= 40
+  UNION ALL SELECT 'digest', a.id, b.id FROM scored JOIN s a ON a.p = x JOIN s b ON b.p = y WHERE a.id < b.id AND score >= 40 UNION ALL SELECT 'file_path', * FROM alike)"""
+
+
+@query(f"WITH {_NEAR_SQL} SELECT * FROM found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near digests and of alike paths among the ssdeep and tlsh rows."""
     return _near_pairs(spark, d).select("field_name", F.col("id_1").alias("row_id_1"), F.col("id_2").alias("row_id_2"))
 
 
-@query("""WITH v AS (SELECT file_path AS t, min(row_id) AS id FROM digest_result WHERE algo IN ('ssdeep', 'tlsh') AND file_path IS NOT NULL GROUP BY 1),
-g AS (SELECT id, unnest(list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)))) AS gram FROM v),
-n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
-c AS (SELECT a.id AS i, b.id AS j, count(*) AS b FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2)
-SELECT i AS row_id_1, j AS row_id_2 FROM c JOIN n x ON x.id = i JOIN n y ON y.id = j WHERE 10 * b >= 7 * (x.n + y.n - b)""")
+@query(f"WITH {_PATHS_SQL} SELECT * FROM alike")
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of alike paths."""
     return hamming.text_pairs(_paths(spark, d)).select(F.col("id_1").alias("row_id_1"), F.col("id_2").alias("row_id_2"))
@@ -174,7 +205,10 @@ def p5_tlsh(spark: SparkSession, d: str) -> DataFrame:
     return hamming.tlsh_pairs(digests).select(F.col("id_1").alias("row_id_1"), F.col("id_2").alias("row_id_2"), "distance")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NEAR_SQL}, links AS (SELECT field_name, row_id_1 AS a, row_id_2 AS b FROM found UNION ALL SELECT field_name, row_id_2, row_id_1 FROM found),
+reached AS (SELECT DISTINCT field_name, a, a AS b FROM links UNION SELECT r.field_name, r.a, l.b FROM reached r JOIN links l ON r.field_name = l.field_name AND r.b = l.a),
+heads AS (SELECT field_name, a, min(b) AS head FROM reached GROUP BY ALL)
+SELECT field_name, a AS row_id, head AS group_id, n_links FROM heads JOIN (SELECT field_name, a, count(*) AS n_links FROM links GROUP BY ALL) USING (field_name, a)""")
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row for each digest and path that is near to another: its group, named by the smallest row_id, and its links."""
     pairs = written(_near_pairs(spark, d))
