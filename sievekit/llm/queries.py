@@ -160,13 +160,13 @@ def _fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
     """``text``, ``id`` of the different paths."""
-    return _fuzzy(spark, d).where(F.col("file_path").isNotNull()).groupBy(F.col("file_path").alias("text")).agg(F.min("row_id").alias("id"))
+    return written(_fuzzy(spark, d).where(F.col("file_path").isNotNull()).groupBy(F.col("file_path").alias("text")).agg(F.min("row_id").alias("id")))
 
 
 def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
     """``field_name``, ``id_1``, ``id_2``; a value's id is the smallest row_id that holds it."""
-    rows = _fuzzy(spark, d)
-    digests = with_plain(rows).where(F.col("plain").isNotNull()).groupBy("algo", "plain").agg(F.min("row_id").alias("id"))
+    rows = with_plain(_fuzzy(spark, d)).where(F.col("plain").isNotNull())
+    digests = written(rows.groupBy("algo", "plain").agg(F.min("row_id").alias("id")), by="algo")  # spelled once, each half read alone
     of = lambda algo: digests.where(F.col("algo") == algo)
     found = [("digest", hamming.tlsh_pairs(of("tlsh"))), ("digest", hamming.ssdeep_pairs(of("ssdeep"))), ("file_path", hamming.text_pairs(_paths(spark, d)))]
     parts = [p.select(F.lit(name).alias("field_name"), "id_1", "id_2") for name, p in found]
