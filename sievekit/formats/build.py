@@ -36,11 +36,12 @@ def thin_file(commands: list[tuple[int, bytes]], rest: bytes = b"", order: str =
 
 def with_symbols(entries: list[tuple[int, str]], **how) -> bytes:
     """A thin file with a symbol table of these type bytes and names."""
-    strings, table, start = b"\0", b"", 32 + 24
+    rows, names, at, start = [], [b"\0"], 1, 32 + 24
     for kind, name in entries:
-        table += struct.pack("<IBBHQ", len(strings), kind, 0, 0, 0)
-        strings += name.encode() + b"\0"
-    return thin_file([(LC_SYMTAB, struct.pack("<IIII", start, len(entries), start + len(table), len(strings)))], table + strings, **how)
+        rows.append(struct.pack("<IBBHQ", at, kind, 0, 0, 0))
+        names.append(name.encode() + b"\0")
+        at += len(names[-1])
+    return thin_file([(LC_SYMTAB, struct.pack("<IIII", start, len(entries), start + 16 * len(entries), at))], b"".join(rows + names), **how)
 
 
 def directory(data: bytes, hash_type: int) -> bytes:
