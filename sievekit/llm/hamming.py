@@ -19,7 +19,8 @@ from sievekit.session import written
 CHUNKS = 16
 CELL_WIDTH = 4  # length values; more apart than this many cost more than the greatest limit
 CELLS = 256 // CELL_WIDTH
-UNIT_ROWS = 16_384
+UNIT_ROWS = 65_536  # two such sides are some 8 MB to move for up to 15 seconds of work
+TEXT_UNIT_ROWS = 16_384
 GREATEST_LIMIT = 47
 PAIR = "id_1 long, id_2 long, distance int"
 
@@ -81,8 +82,9 @@ def near_in_memory(left: np.ndarray, right: np.ndarray, limit: int) -> tuple[np.
         order = np.argsort(y[:, c], kind="stable")
         starts = np.concatenate([[0], np.cumsum(np.bincount(y[:, c], minlength=1 << 16))])
         offsets, around = _balls(radius)
-        for low in range(0, len(x), 4096):
-            own = x[low : low + 4096, c].astype(np.int64)
+        step = max(64, min(4096, (1 << 28) // max(1, len(y))))  # bounds the pairs at once
+        for low in range(0, len(x), step):
+            own = x[low : low + step, c].astype(np.int64)
             n = offsets[own + 1] - offsets[own]
             probe = around[_expand(offsets[own], n)].astype(np.int64)
             who = np.repeat(np.arange(low, low + len(own)), n)
@@ -92,15 +94,16 @@ def near_in_memory(left: np.ndarray, right: np.ndarray, limit: int) -> tuple[np.
                 i = np.repeat(who[some], hits[some])
                 j = order[_expand(starts[probe[some]], hits[some])]
                 cheap = tlsh.head_cost(left[i], right[j]) <= limit
-                found.append(i[cheap] * len(y) + j[cheap])
+                i, j = i[cheap], j[cheap]
+                # The distance decides at once, so that no more is held than there are near pairs.
+                d = np.concatenate([tlsh.distances(left[i[k : k + 100_000]], right[j[k : k + 100_000]]) for k in range(0, len(i), 100_000)] or [i])
+                near = d <= limit
+                found.append((i[near] * len(y) + j[near], d[near]))
     if not found:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    both = np.unique(np.concatenate(found))
-    i, j = both // len(y), both % len(y)
-    d = np.concatenate([tlsh.distances(left[i[k : k + 100_000]], right[j[k : k + 100_000]]) for k in range(0, len(i), 100_000)] or [i])
-    near = d <= limit
-    return i[near], j[near], d[near]
+    both, first = np.unique(np.concatenate([f for f, _ in found]), return_index=True)
+    return both // len(y), both % len(y), np.concatenate([d for _, d in found])[first]
 
 
 def join_units(limit: int, two_sides: bool = False):
@@ -390,7 +393,7 @@ def _jaccard(size: int, least: float):
     return run
 
 
-def text_pairs(df: DataFrame, size: int = 4, least: float = 0.70, unit_rows: int = UNIT_ROWS) -> DataFrame:
+def text_pairs(df: DataFrame, size: int = 4, least: float = 0.70, unit_rows: int = TEXT_UNIT_ROWS) -> DataFrame:
     """All pairs of texts whose distinct ``size``-character pieces have a Jaccard similarity of at least ``least``, of ``df``
     (``id`` long, unique; ``text``, distinct): ``id_1 < id_2``, ``similarity``.
 
