@@ -97,8 +97,8 @@ def load_commands(data: bytes) -> list[Command]:
     return out
 
 
-def symbols(data: bytes, strict_layout: bool = False) -> list[tuple[int, str]] | None:
-    """Type byte and name of each symbol in table order; None without a symbol table.
+def symbols(data: bytes, strict_layout: bool = False, imported: bool = False) -> list[tuple[int, str]] | None:
+    """Type byte and name of each symbol in table order, with ``imported`` of undefined external ones only; None without a symbol table.
 
     Numbers are little-endian and entries 16 bytes in every file, as for 64-bit ones; with ``strict_layout`` the file's own
     byte order and entry size are used.  A table that reaches past the end counts as empty; names end at a zero byte
@@ -113,10 +113,9 @@ def symbols(data: bytes, strict_layout: bool = False) -> list[tuple[int, str]] |
     if symoff + count * entry > len(data):
         return []
     out = []
-    for i in range(count):
-        strx, kind_byte = struct.unpack_from(byte_order + "IB", data, symoff + i * entry)
+    for strx, kind_byte in struct.iter_unpack(f"{byte_order}IB{entry - 5}x", data[symoff : symoff + count * entry]):
         start = stroff + strx
-        if start < len(data):
+        if start < len(data) and (not imported or kind_byte & SYMBOL_BITS == EXTERNAL):
             end = data.find(b"\0", start)
             out.append((kind_byte, bytes(data[start : end if end >= 0 else len(data)]).decode("utf-8", "replace")))
     return out
@@ -124,8 +123,8 @@ def symbols(data: bytes, strict_layout: bool = False) -> list[tuple[int, str]] |
 
 def imported_names(data: bytes, strict_layout: bool = False) -> list[str] | None:
     """Names of undefined external symbols (what the symbol hash is made of), duplicates kept."""
-    table = symbols(data, strict_layout)
-    return None if table is None else [name for t, name in table if t & SYMBOL_BITS == EXTERNAL]
+    table = symbols(data, strict_layout, imported=True)
+    return None if table is None else [name for _, name in table]
 
 
 def slices_of(data: bytes | None) -> list[tuple[str | None, bytes]]:

@@ -137,7 +137,7 @@ def plain_digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _containers(spark: SparkSession, d: str, make) -> DataFrame:
-    return documents(spark, d).withColumn("content", make(F.col("content")))
+    return spread(documents(spark, d)).withColumn("content", make(F.col("content")))
 
 
 @query(f"""WITH {DOCUMENTS_SQL}, fat AS (SELECT *, unhex('cafebabe00000002010000070000000300000030' || printf('%08x', octet_length(content)) || '00000000'
@@ -157,7 +157,7 @@ _NAMES_SQL = "list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: x
 def _imports(spark: SparkSession, d: str) -> DataFrame:
     """Executables that import the Latin words of the texts."""
     names = F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), build.symbols_of(names).alias("content"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("seq"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), build.symbols_of(names).alias("content"))
 
 
 @query(f"SELECT doc_id AS seq, md5(array_to_string(list_sort({_NAMES_SQL}), ',')) AS digest FROM documents WHERE text IS NOT NULL")
