@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+import os
+import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievekit.session import file_system
+
 BLOCK_BITS = 512
 KEYS_A_BUCKET = 500_000
 GATHERED_ROWS = 100_000
@@ -152,6 +157,134 @@ def seen_before(df: DataFrame, key: str, order: str, known: DataFrame | None = N
     )
 
 
+class GrowingBloom:
+    """Blocked filters of doubling size and falling rate, whose rates add up to at most ``rate`` however many keys come."""
+
+    def __init__(self, keys: int, rate: float) -> None:
+        self.keys, self.rate, self.filters, self.left = keys, rate, [], 0
+
+    def query(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), dtype=bool)
+        for f in self.filters:
+            out |= f.query(h)
+        return out
+
+    def insert(self, h: np.ndarray) -> None:
+        """New keys, each once."""
+        while len(h):
+            if not self.left:
+                k = len(self.filters)
+                self.left = self.keys << k
+                self.filters.append(BlockedBloom(self.left, self.rate / 2 ** (k + 1)))
+            part, h = h[: self.left], h[self.left :]
+            self.filters[-1].insert(part)
+            self.left -= len(part)
+
+    def dump(self) -> bytes:
+        head = np.array([self.keys, self.left, len(self.filters)], dtype=np.int64)
+        return b"".join([head.tobytes(), np.float64(self.rate).tobytes(), *(f.words.tobytes() for f in self.filters)])
+
+    @classmethod
+    def load(cls, data: bytes) -> "GrowingBloom":
+        keys, left, n = np.frombuffer(data, dtype=np.int64, count=3).tolist()
+        out = cls(keys, float(np.frombuffer(data, dtype=np.float64, count=1, offset=24)[0]))
+        at = 32
+        for k in range(n):
+            f = BlockedBloom(keys << k, out.rate / 2 ** (k + 1))
+            f.words = np.frombuffer(data, dtype=np.uint64, count=len(f.words), offset=at).copy()
+            at += f.words.nbytes
+            out.filters.append(f)
+        out.left = left
+        return out
+
+
+class SeenKeys:
+    """Blocked Bloom filters of all keys so far, kept in a folder, so that a later batch needs the filters of its buckets and no
+    earlier key.  ``folder`` may hold filters already; then ``buckets``, ``keys_a_bucket`` and ``rate`` are those of the folder.
+
+    A bucket's filter grows by a larger one where it is full.  A batch writes its buckets' filters beside the ones before, and
+    last a row in the manifest: a batch that fails halfway leaves no trace, and a task that runs again writes the same.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, keys_a_bucket: int = KEYS_A_BUCKET, rate: float = 1e-6) -> None:
+        self.spark, self.folder, self.buckets, self.keys_a_bucket, self.rate = spark, folder, buckets, keys_a_bucket, rate
+        self.latest: dict[int, str] = {}  # the file of each bucket
+        self.batches = 0
+        try:
+            known = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").orderBy("number").collect()  # a row a batch
+        except AnalysisException:
+            return  # a new one
+        for r in known:
+            self.buckets, self.keys_a_bucket, self.rate, self.batches = r["buckets"], r["keys"], r["rate"], r["number"] + 1
+            self.latest.update(dict.fromkeys(r["written"], r["commit"]))
+
+    def add(self, df: DataFrame, key: str, order: str) -> DataFrame:
+        """``ord``, ``seen`` of each row of a batch: did its key occur in an earlier batch or in a row of smaller ``order``?  As in ``seen_before``."""
+        rows = df.where(F.col(key).isNotNull()).select(F.col(order).cast("long").alias("ord"), F.xxhash64(key).alias("h"), F.lit(ROW).alias("kind"))
+        commit, answers = uuid.uuid4().hex, f"{self.folder}/answers-{self.batches:06d}-{uuid.uuid4().hex}"
+        bucket = F.when(F.col("decided"), F.lit(-1)).otherwise(F.pmod("h", F.lit(self.buckets)).cast("int"))
+        (
+            rows.mapInArrow(_repeats, _SCHEMA)
+            .withColumn("bucket", bucket)
+            .repartition(self.buckets, F.when(F.col("decided"), F.pmod("ord", F.lit(self.buckets)).cast("int")).otherwise(F.col("bucket")))
+            .sortWithinPartitions("bucket", "kind", "ord")
+            .mapInArrow(_kept_filters(self.folder, self.latest, commit, self.keys_a_bucket, self.rate), "ord long, bucket int, seen boolean")
+            .write.parquet(answers)
+        )
+        out = self.spark.read.schema("ord long, bucket int, seen boolean").parquet(answers)
+        written = sorted(r[0] for r in out.where("bucket >= 0").select("bucket").distinct().collect())  # at most one row a bucket
+        row = {"number": F.lit(self.batches), "commit": F.lit(commit), "buckets": F.lit(self.buckets), "keys": F.lit(self.keys_a_bucket).cast("long"), "rate": F.lit(self.rate), "written": F.array(*map(F.lit, written)).cast("array<int>")}
+        self.spark.range(0, 1, 1, 1).select(*(c.alias(name) for name, c in row.items())).write.mode("append").parquet(f"{self.folder}/manifest")
+        self.batches += 1
+        self.latest.update(dict.fromkeys(written, commit))
+        return out.select("ord", "seen")
+
+
+_MANIFEST = "number int, commit string, buckets int, keys long, rate double, written array<int>"
+
+
+def _kept_filters(folder: str, latest: dict[int, str], commit: str, keys: int, rate: float):
+    def run(batches):
+        system, path = file_system(folder)
+        name = lambda bucket, of: f"{path}/filters/bucket={bucket}/{of}"
+        current, bloom = -1, None
+
+        def keep() -> None:
+            if bloom is not None:
+                system.create_dir(os.path.dirname(name(current, commit)), recursive=True)
+                own = f"{name(current, commit)}.{uuid.uuid4().hex}"  # a second attempt of the task doesn't meet the first
+                with system.open_output_stream(own) as f:
+                    f.write(bloom.dump())
+                system.move(own, name(current, commit))
+
+        for b in batches:
+            bucket, order = (b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "ord"))
+            h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+            seen = np.ones(b.num_rows, dtype=bool)
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for low, high in zip(edges, edges[1:]):
+                if low == high or bucket[low] < 0:  # decided already
+                    continue
+                if bucket[low] != current:
+                    keep()
+                    current = int(bucket[low])
+                    if current in latest:
+                        with system.open_input_file(name(current, latest[current])) as f:
+                            bloom = GrowingBloom.load(f.read())
+                    else:
+                        bloom = GrowingBloom(keys, rate)
+                part = h[low:high]
+                first = _first(part)
+                answer = ~first
+                answer[first] = bloom.query(part[first])
+                bloom.insert(part[first & ~answer])
+                seen[low:high] = answer
+            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(bucket.astype(np.int32)), pa.array(seen)], ["ord", "bucket", "seen"])
+        keep()
+
+    return run
+
+
 def error_rate(answers: DataFrame) -> DataFrame:
     """Of the answers with absent keys: ``n_rows``, ``n_seen``, ``absent_keys``, ``wrong``, ``wrong_rate``."""
     is_row, is_absent = F.col("kind") == ROW, F.col("kind") == ABSENT

@@ -77,3 +77,39 @@ def test_pairs_with_common_key(spark, block):
     assert {tuple(x) for x in pairs_with_common_key(df, block).collect()} == want
     assert pairs_with_common_key(df, block).count() == len(want)
     assert pairs_with_common_key(df.where(F.lit(False))).count() == 0
+
+
+def test_kept_filters(spark, tmp_path):
+    r = random.Random(4)
+    folder, before = str(tmp_path / "seen"), set()
+    for number in range(4):
+        keys = bloom.SeenKeys(spark, folder, buckets=3, keys_a_bucket=50, rate=1e-4)  # opened anew each time
+        assert keys.batches == number and keys.buckets == 3
+        batch = [(i, r.choice(["hot", f"k{r.randrange(400)}", None])) for i in range(300)]
+        got = {x.ord: x.seen for x in keys.add(spark.createDataFrame(batch, "i long, key string"), "key", "i").collect()}
+        want, own = {}, set(before)
+        for i, k in batch:
+            if k is not None:
+                want[i] = k in own
+                own.add(k)
+        assert got.keys() == want.keys() and all(got[i] for i in want if want[i])
+        assert sum(got[i] != want[i] for i in want) <= 2
+        before = own
+    none = bloom.SeenKeys(spark, folder).add(spark.createDataFrame([], "i long, key string"), "key", "i")
+    assert none.count() == 0 and bloom.SeenKeys(spark, folder).batches == 5
+    # A batch that didn't come to its end doesn't count.
+    again = bloom.SeenKeys(spark, folder)
+    broken = spark.createDataFrame([(1, "new key")], "i long, key string").withColumn("i", F.raise_error(F.lit("x")).cast("long"))
+    with pytest.raises(Exception):
+        again.add(broken, "key", "i")
+    assert [x.seen for x in bloom.SeenKeys(spark, folder).add(spark.createDataFrame([(1, "new key")], "i long, key string"), "key", "i").collect()] == [False]
+
+
+def test_growing_filter():
+    f, r = bloom.GrowingBloom(100, 1e-3), np.random.default_rng(1)
+    h = r.integers(0, 1 << 64, 5000, dtype=np.uint64)
+    for k in range(0, 5000, 37):
+        f.insert(h[k : k + 37])
+    g = bloom.GrowingBloom.load(f.dump())
+    assert len(g.filters) == 6 and g.left == f.left and g.query(h).all()
+    assert g.query(r.integers(0, 1 << 64, 100_000, dtype=np.uint64)).mean() <= 2e-3
