@@ -128,7 +128,7 @@ def seen_before(df: DataFrame, key: str, order: str, known: DataFrame | None = N
     """Whether the key of each row occurred in a row of smaller ``order`` or in ``known``.
 
     Keys are hashed to buckets; each bucket is read in order through a blocked Bloom filter: query, then insert.  A
-    filter holds ``keys_a_bucket`` keys at most on average, so memory doesn't grow with the input, only the number of
+    filter has room for ``keys_a_bucket`` keys on average, so memory doesn't grow with the input, only the number of
     buckets.  Rows that repeat a key within a block of rows read together are decided before the shuffle, so a
     hot key doesn't make a hot bucket.  A wrong answer is always a false "seen", at most at ``rate`` for new keys.
     ``absent`` keys that are surely not there are asked at the end, to measure that rate.
@@ -141,12 +141,12 @@ def seen_before(df: DataFrame, key: str, order: str, known: DataFrame | None = N
     if known is not None:
         k = known_key or key
         rows = rows.unionByName(known.where(F.col(k).isNotNull()).select(F.lit(-1).cast("long").alias("ord"), F.xxhash64(k).alias("h"), F.lit(KNOWN).alias("kind")))
-    distinct = rows.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    keys = df.count() + (known.count() if known is not None else 0)  # no less than there are distinct ones; of a table it is in the metadata
     if absent:
         rows = rows.unionByName(spark.range(absent).select(F.col("id").alias("ord"), F.xxhash64(F.concat(F.lit("absent key "), F.col("id"))).alias("h"), F.lit(ABSENT).alias("kind")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, math.ceil(distinct / keys_a_bucket))
-    room = math.ceil(1.1 * distinct / buckets + 6 * math.sqrt(distinct / buckets + 1))
+    buckets = max(parts, math.ceil(keys / keys_a_bucket))
+    room = math.ceil(1.1 * keys / buckets + 6 * math.sqrt(keys / buckets + 1))
     bucket = F.when(F.col("decided"), F.lit(-1)).otherwise(F.pmod("h", F.lit(buckets)).cast("int"))
     return (
         rows.mapInArrow(_repeats, _SCHEMA)
