@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievekit.config import Algorithm, DigestSpec
 from sievekit.formats import build, xar
-from sievekit.functions import tlsh
+from sievekit.functions import ctph, tlsh
 from sievekit.operators import decode
 from sievekit.operators.formatting import result_line
 from sievekit.operators.matching import match
@@ -104,6 +104,32 @@ SELECT seq, 'T1' || printf('%02X%02X%02X', {swap('checksum')}, {swap(f'CAST({len
 FROM q JOIN c USING (seq) JOIN d USING (seq)"""
 
 
+def ssdeep_sql(rows: str) -> str:
+    """ssdeep digests of ``rows`` (a table or CTE with ``seq``, ``content``), in DuckDB's SQL: the rolling hash from each byte and the six
+    before it, ends of pieces by block size, a hash over each piece of the two signatures that are used."""
+    before = ", ".join(f"coalesce(lag(c, {k}) OVER o, 0) AS b{k}" for k in range(1, 7))
+    rolled = " + ".join(["8 * c", *(f"{8 - k} * b{k}" for k in range(1, 7))])
+    shifted = reduce(lambda x, k: f"xor({x}, b{k} << {5 * k})", range(1, 7), "c")
+    digit = lambda h: f"substr('{ctph.DIGITS}', 1 + {h}, 1)"
+    hashed = lambda listed: f"list_reduce(list_prepend({ctph.PIECE_START}, {listed}), lambda h, x: xor(h * {ctph.PIECE_FACTOR} % 64, x % 64))"
+    levels = range(32)
+    return f"""b AS (SELECT seq, i, CAST('0x' || substr(hex(content), 2 * i - 1, 2) AS BIGINT) AS c FROM {rows}, unnest(range(1, octet_length(content) + 1)) u(i)),
+r AS MATERIALIZED (SELECT seq, i, c, ({rolled} + ({shifted}) % 4294967296) % 4294967296 AS roll FROM (SELECT *, {before} FROM b WINDOW o AS (PARTITION BY seq ORDER BY i))),
+n AS (SELECT seq, max(i) AS n, arg_max(roll, i) AS last, [{', '.join(f'count(*) FILTER ((roll + 1) % {3 << k} = 0)' for k in levels)}] AS ends FROM r GROUP BY seq),
+l AS (SELECT *, list_max(list_filter(range(0, 32), lambda k: (k = 0 OR 3 * (1 << greatest(k - 1, 0)) * 64 < n) AND (k = 0 OR ends[k + 1] >= 32))) AS level FROM n),
+s AS (SELECT seq, n, last, 3 * (1 << (level + k)) AS block, k, CASE k WHEN 0 THEN {ctph.MAX_FIRST} ELSE {ctph.MAX_SECOND} END AS most FROM l, unnest([0, 1]) u(k)),
+e AS (SELECT s.*, r.i, r.c, (roll + 1) % block = 0 AS is_end FROM s JOIN r USING (seq)),
+f AS (SELECT *, sum(is_end::INTEGER) OVER (PARTITION BY seq, k ORDER BY i) AS rank FROM e),
+g AS (SELECT *, least(rank - is_end::INTEGER, most - 1) AS piece, max(CASE WHEN is_end THEN i END) OVER (PARTITION BY seq, k) AS last_end FROM f),
+h AS (SELECT seq, k, piece, any_value(most) AS most, bool_or(is_end) AND piece < any_value(most) - 1 AS is_whole, any_value(last) AS last, max(rank) AS rank,
+  {hashed('list(c ORDER BY i)')} AS hash, {hashed('coalesce(list(c ORDER BY i) FILTER (i <= last_end), [])')} AS capped FROM g GROUP BY seq, k, piece),
+d AS (SELECT seq, k, coalesce(string_agg({digit('hash')}, '' ORDER BY piece) FILTER (is_whole), '') AS digits, any_value(last) AS last, max(rank) >= any_value(most) AS is_capped,
+  coalesce(any_value(hash) FILTER (NOT is_whole), {ctph.PIECE_START}) AS rest, any_value(capped) FILTER (NOT is_whole) AS capped FROM h GROUP BY seq, k),
+sigs AS (SELECT seq, k, digits || CASE WHEN last <> 0 THEN {digit('rest')} WHEN is_capped THEN {digit('capped')} ELSE '' END AS sig FROM d),
+fuzzy AS (SELECT seq, coalesce((SELECT max(block) FROM s WHERE s.seq = x.seq AND k = 0), 3) || ':' || coalesce((SELECT max(sig) FROM sigs WHERE sigs.seq = x.seq AND k = 0), '')
+  || ':' || coalesce((SELECT max(sig) FROM sigs WHERE sigs.seq = x.seq AND k = 1), '') AS digest FROM {rows} x WHERE content IS NOT NULL)"""
+
+
 DOCUMENTS_SQL = "documents_ AS (SELECT doc_id AS seq, 'doc/' || doc_id AS path, encode(text) AS content FROM documents)"
 _SQL_DIGESTS = {
     "md5": "md5(content)", "sha1": "sha1(content)", "sha256": "sha256(content)",
@@ -119,7 +145,7 @@ def _digest_query(algo: str):
 
     run.__name__, run.__doc__ = f"digest_{algo}", f"{algo} of every document's text."
     expression = _SQL_DIGESTS[algo]
-    sql = _tlsh_sql() if algo == "tlsh" else f"WITH {DOCUMENTS_SQL} SELECT seq, {expression} AS digest FROM documents_ WHERE content IS NOT NULL" if expression else None
+    sql = _tlsh_sql() if algo == "tlsh" else f"WITH {DOCUMENTS_SQL}, {ssdeep_sql('documents_')} SELECT * FROM fuzzy" if algo == "ssdeep" else f"WITH {DOCUMENTS_SQL} SELECT seq, {expression} AS digest FROM documents_ WHERE content IS NOT NULL" if expression else None
     return query(sql)(run)
 
 
@@ -166,6 +192,13 @@ def symhash_md5(spark: SparkSession, d: str) -> DataFrame:
     return DigestQuery(DigestSpec(symhash=True)).results(_imports(spark, d)).select("seq", "digest")
 
 
+@query(f"""WITH names AS MATERIALIZED (SELECT doc_id AS seq, encode(array_to_string(list_sort({_NAMES_SQL}), ',')) AS content FROM documents WHERE text IS NOT NULL),
+{ssdeep_sql('names')} SELECT seq, fuzzy.digest FROM fuzzy JOIN names USING (seq) WHERE octet_length(content) > 0""")
+def symhash_ssdeep(spark: SparkSession, d: str) -> DataFrame:
+    """Fuzzy digest of the sorted imported symbols; without symbols there is none."""
+    return DigestQuery(DigestSpec(algorithm="ssdeep", symhash=True)).results(_imports(spark, d)).select("seq", "digest")
+
+
 @query(f"""SELECT doc_id AS seq, 'doc/' || doc_id || ' (' || arch || ')' AS path, arch, md5(array_to_string(names, ',')) AS digest FROM (
   SELECT doc_id, 'x86_64' AS arch, list_sort({_NAMES_SQL}) AS names FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT doc_id, 'arm64e', ({_NAMES_SQL})[1:1] FROM documents WHERE text IS NOT NULL)""")
