@@ -230,7 +230,8 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_sizes(spark, d), "doc_id", "n_tokens").withColumnRenamed("id", "doc_id")
 
 
-@query()
+# Sizes leave room, so that bytes tell the same as tokens of any tokenizer: 3.5 of them for each.
+@query(f"SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 3.5 * {packing.CAPACITY}")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that had to be cut because their text alone exceeds a container."""
     return p6_containers(spark, d).where("piece = 1").select("doc_id").distinct()
@@ -253,7 +254,11 @@ def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
     return mixing.Mixture(docs, table(spark, d, "mix_target"))
 
 
-@query()
+# Sizes leave room, so that shares of bytes tell the same as shares of tokens.
+@query("""WITH sizes AS (SELECT nullif(regexp_replace(regexp_replace(lower(source), '^[\\s_-]+|[\\s_-]+$', '', 'g'), '[\\s_-]+', '-', 'g'), '') AS source, octet_length(encode(text)) AS n FROM documents),
+sums AS (SELECT source, sum(n) AS s FROM sizes WHERE source IS NOT NULL GROUP BY source), total AS (SELECT sum(s) AS t FROM sums)
+SELECT m.source, CASE WHEN target_share * t <= coalesce(s, 0) THEN 'once' WHEN target_share * t <= max_repeats * coalesce(s, 0) THEN 'repeated' ELSE 'short' END AS standing
+FROM mix_target m LEFT JOIN sums USING (source), total""")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Whether each source's share is reached once over, with repeats, or not."""
     return _mixture(spark, d).report().select("source", "standing")
