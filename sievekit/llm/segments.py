@@ -245,7 +245,12 @@ class SegmentIndex:
         columns = [c.split()[0] for c in _TABLES[name].split(", ")]
         rows = rows.withColumn("commit", F.lit(commit)).select(*columns)
         rows.hint("rebalance", "bucket").write.mode("append").option("parquet.block.size", ROW_GROUP).partitionBy("bucket", "commit").parquet(f"{self.folder}/{name}")
-        return [(name, r["bucket"], r["n"]) for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()]  # a row a bucket
+        at = f"{self.folder}/{name}"
+        try:  # counted from the files' metadata
+            new = self.spark.read.schema(_TABLES[name]).option("basePath", at).parquet(f"{at}/bucket=*/commit={commit}")
+        except AnalysisException:
+            return []  # there was nothing to append
+        return [(name, r["bucket"], r["n"]) for r in new.groupBy("bucket").agg(F.count("*").alias("n")).collect()]  # a row a bucket
 
     def accepted(self) -> DataFrame:
         """All accepted digests: ``space``, ``algo``, ``plain``, ``id``."""
