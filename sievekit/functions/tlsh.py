@@ -32,7 +32,7 @@ PEARSON = np.array(
 # Salt of each bucket mapping, and which earlier bytes go with the current one.
 TRIPLETS = ((2, 1, 2), (3, 1, 3), (5, 2, 3), (7, 2, 4), (11, 1, 4), (13, 3, 4))
 
-_SEQUENCE = PEARSON.tobytes()
+_SEQUENCE = PEARSON.tolist()
 _NIBBLES = np.array([(v & 15) << 4 | v >> 4 for v in range(256)], dtype=np.uint8)
 _CODE_COST = np.array([0, 1, 2, 6])  # of two bucket codes, by their difference
 
@@ -71,9 +71,11 @@ class TlshState:
             # The checksum is a chain; all but its last link is computed ahead.
             first = _SEQUENCE[0]
             ahead = PEARSON[PEARSON[first ^ now] ^ a[3:-1]].tobytes()
-            c = self.checksum
-            for x in ahead:
-                c = _SEQUENCE[x ^ c]
+            c, p, rest = self.checksum, _SEQUENCE, iter(ahead[: len(ahead) // 8 * 8])
+            for x0, x1, x2, x3, x4, x5, x6, x7 in zip(*[rest] * 8):  # eight links a turn take half the time of one
+                c = p[x7 ^ p[x6 ^ p[x5 ^ p[x4 ^ p[x3 ^ p[x2 ^ p[x1 ^ p[x0 ^ c]]]]]]]]
+            for x in ahead[len(ahead) // 8 * 8 :]:
+                c = p[x ^ c]
             self.checksum = c
         self.tail = data[-4:]
 
