@@ -165,6 +165,12 @@ def tlsh_pairs(df: DataFrame, limit: int = 40, unit_rows: int = UNIT_ROWS) -> Da
     """
     if not 0 <= limit <= GREATEST_LIMIT:
         raise ValueError(f"limit must be 0 to {GREATEST_LIMIT}")
+    key = ["cell", "a", "step", "b"]
+    return tlsh_units(df, unit_rows).repartition(*key).sortWithinPartitions(*key).mapInArrow(join_units(limit), PAIR)
+
+
+def tlsh_units(df: DataFrame, unit_rows: int) -> DataFrame:
+    """The digests by the units in which they meet others: ``cell``, ``a``, ``step``, ``b``, ``is_left``, ``id``, ``sig``."""
     cells = CELLS
     rows = tlsh_rows(df).select("id", "sig", "own")
     counts = {r["own"]: r["n"] for r in rows.groupBy("own").agg(F.count("*").alias("n")).collect()}  # 64 rows at most
@@ -179,15 +185,7 @@ def tlsh_pairs(df: DataFrame, limit: int = 40, unit_rows: int = UNIT_ROWS) -> Da
         F.transform(F.sequence(F.lit(0), of(step(1)) - 1), lambda t: unit(own, mine, 1, t, True)),
         F.transform(F.sequence(F.lit(0), of(step(-1)) - 1), lambda t: unit(step(-1), t, 1, mine, False)),
     )
-    key = ["cell", "a", "step", "b"]
-    return (
-        rows.withColumn("mine", F.pmod(F.xxhash64("id"), of(own)).cast("int"))
-        .select("id", "sig", F.explode(units).alias("u"))
-        .select("u.*", "id", "sig")
-        .repartition(*key)
-        .sortWithinPartitions(*key)
-        .mapInArrow(join_units(limit), PAIR)
-    )
+    return rows.withColumn("mine", F.pmod(F.xxhash64("id"), of(own)).cast("int")).select("id", "sig", F.explode(units).alias("u")).select("u.*", "id", "sig")
 
 
 # ---- ssdeep: a score above 0 needs seven characters in common, so the chunks are windows without errors

@@ -90,8 +90,7 @@ def test_text_pairs(spark):
     sets = [grams(t, 4) for t in texts]
     want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and len(x & y) / len(x | y) >= 0.7}
     got = {(r.id_1, r.id_2) for r in hamming.text_pairs(df).collect()}
-    assert got - want == {(9003, 9004)}
-    assert len(want & got) >= 0.99 * len(want) > 50
+    assert got == want | {(9003, 9004)} and len(want) > 50
     assert hamming.text_pairs(df.where(F.lit(False))).count() == 0
 
 
@@ -108,6 +107,13 @@ def test_text_pairs_in_one_folder(spark, unit):
     assert set(got) == want and len(got) == len(want) > 1000
 
 
+def test_copies_of_tlsh_rows(spark):
+    """Three units a row up to 65,536 digests a cell; beyond that one more for each further block."""
+    rows = spark.range(3000).select("id", F.concat(F.lit("T1000000"), F.lpad(F.hex("id"), 64, "0")).alias("plain"))
+    copies = lambda unit_rows: hamming.tlsh_units(rows, unit_rows).count() / 3000
+    assert copies(hamming.UNIT_ROWS) == copies(3000) == 3 and copies(300) == 12
+
+
 @pytest.mark.parametrize("least", [0.3, 0.7, 1.0])
 def test_text_pairs_at_limits(spark, least):
     r = random.Random(7)
