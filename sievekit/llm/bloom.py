@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import uuid
@@ -211,10 +212,10 @@ class SeenKeys:
         self.latest: dict[int, str] = {}  # the file of each bucket
         self.batches = 0
         try:
-            known = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").orderBy("number").collect()  # a row a batch
+            known = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").collect()  # a row a batch
         except AnalysisException:
             return  # a new one
-        for r in known:
+        for r in sorted((json.loads(r["entry"]) for r in known), key=lambda r: r["number"]):
             self.buckets, self.keys_a_bucket, self.rate, self.batches = r["buckets"], r["keys"], r["rate"], r["number"] + 1
             self.latest.update(dict.fromkeys(r["written"], r["commit"]))
 
@@ -233,14 +234,14 @@ class SeenKeys:
         )
         out = self.spark.read.schema("ord long, bucket int, seen boolean").parquet(answers)
         written = sorted(r[0] for r in out.where("bucket >= 0").select("bucket").distinct().collect())  # at most one row a bucket
-        row = {"number": F.lit(self.batches), "commit": F.lit(commit), "buckets": F.lit(self.buckets), "keys": F.lit(self.keys_a_bucket).cast("long"), "rate": F.lit(self.rate), "written": F.array(*map(F.lit, written)).cast("array<int>")}
-        self.spark.range(0, 1, 1, 1).select(*(c.alias(name) for name, c in row.items())).write.mode("append").parquet(f"{self.folder}/manifest")
+        entry = json.dumps({"number": self.batches, "commit": commit, "buckets": self.buckets, "keys": self.keys_a_bucket, "rate": self.rate, "written": written})
+        self.spark.range(0, 1, 1, 1).select(F.lit(entry).alias("entry")).write.mode("append").parquet(f"{self.folder}/manifest")
         self.batches += 1
         self.latest.update(dict.fromkeys(written, commit))
         return out.select("ord", "seen")
 
 
-_MANIFEST = "number int, commit string, buckets int, keys long, rate double, written array<int>"
+_MANIFEST = "entry string"  # JSON
 
 
 def _kept_filters(folder: str, latest: dict[int, str], commit: str, keys: int, rate: float):

@@ -15,6 +15,7 @@ the limit allows.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import uuid
@@ -40,17 +41,17 @@ LENGTHS = 16  # buckets of tlsh digests, each a range of the length byte
 PAIRS_AT_ONCE = 1 << 20
 _JUDGED = "batch int, space int, algo string, plain string, n long, id long, status string"
 _TABLES = {
-    "digests": "space int, algo string, plain string, id long, bucket int, commit long",
-    "segments": "key long, length int, at int, id long, bucket int, commit long",
-    "chunks": "sig string, id long, bucket int, commit long",
+    "digests": "space int, algo string, plain string, id long, bucket int, commit string",
+    "segments": "key long, length int, at int, id long, bucket int, commit string",
+    "chunks": "sig string, id long, bucket int, commit string",
 }
-_MANIFEST = "number int, commit long, buckets int, counts array<struct<name: string, bucket: int, n: bigint>>, path string"
+_MANIFEST = "entry string"  # JSON
 
 
 class Stored:
     """The files of the tables, read in the tasks; ``commits``: those that count."""
 
-    def __init__(self, folder: str, commits: list[int]) -> None:
+    def __init__(self, folder: str, commits: list[str]) -> None:
         self.folder, self.commits = folder, frozenset(commits)
 
     def read(self, name: str, bucket: int, part: int, parts: int, columns: list[str]) -> Iterator[pa.Table]:
@@ -61,7 +62,7 @@ class Stored:
         found = system.get_file_info(fs.FileSelector(f"{path}/{name}/bucket={bucket}", allow_not_found=True, recursive=True))
         number = 0
         for f in sorted(x.path for x in found if x.is_file and x.path.endswith(".parquet")):
-            if int(re.search(r"/commit=(\d+)/", f)[1]) not in self.commits:
+            if re.search(r"/commit=(\w+)/", f)[1] not in self.commits:
                 continue
             with system.open_input_file(f) as file:
                 groups = parquet.ParquetFile(file)
@@ -223,24 +224,24 @@ class SegmentIndex:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, least: int = 40, limit: int = 40, buckets: int = BUCKETS) -> None:
         self.spark, self.folder, self.least, self.limit, self.buckets = spark, folder or shared_folder(spark), least, limit, buckets
-        self.commits: list[int] = []
+        self.commits: list[str] = []
         self.judged_at: list[str] = []
         self.stored: dict[str, dict[int, int]] = {name: {} for name in _TABLES}  # rows of each bucket
         try:
-            known = spark.read.schema(_MANIFEST).parquet(f"{self.folder}/manifest").orderBy("number").collect()  # one row a batch
+            known = spark.read.schema(_MANIFEST).parquet(f"{self.folder}/manifest").collect()  # one row a batch
         except AnalysisException:
             return  # a new one
-        for r in known:
+        for r in sorted((json.loads(r["entry"]) for r in known), key=lambda r: r["number"]):
             self.buckets = r["buckets"]
-            self._count_in(r["commit"], r["path"], [tuple(c) for c in r["counts"]])
+            self._count_in(r["commit"], r["path"], r["counts"])
 
-    def _count_in(self, commit: int, path: str, counts: list[tuple[str, int, int]]) -> None:
+    def _count_in(self, commit: str, path: str, counts: list[tuple[str, int, int]]) -> None:
         self.commits.append(commit)
         self.judged_at.append(path)
         for name, bucket, n in counts:
             self.stored[name][bucket] = self.stored[name].get(bucket, 0) + n
 
-    def _append(self, name: str, rows: DataFrame, commit: int) -> list[tuple[str, int, int]]:
+    def _append(self, name: str, rows: DataFrame, commit: str) -> list[tuple[str, int, int]]:
         """Appends to a table; the rows written to each bucket."""
         columns = [c.split()[0] for c in _TABLES[name].split(", ")]
         rows = rows.withColumn("commit", F.lit(commit)).select(*columns)
@@ -280,14 +281,14 @@ class SegmentIndex:
         compared with each other.  Null digests and spaces are left out; an empty batch gives no rows and accepts nothing.  Without
         ``compare`` all are accepted.  Digests are told apart by 64-bit hashes.
         """
-        commit = uuid.uuid4().int >> 65
-        path = f"judged-{commit:016x}"
+        commit = f"c{uuid.uuid4().hex}"  # as text, for numbers are compiled into the plans
+        path = f"judged-{commit}"
         # One row a digest, counted on the map side first: a digest that fills the batch is one row a map task.
         fresh = rows.where(F.col("plain").isNotNull() & F.col("space").isNotNull()).groupBy("space", "algo", "plain").agg(F.count("*").alias("n"))
         fresh = fresh.withColumn("id", F.xxhash64("space", "plain"))
         if compare and self.commits:
-            fresh.write.parquet(f"{self.folder}/fresh-{commit:016x}")
-            fresh = self.spark.read.schema("space int, algo string, plain string, n long, id long").parquet(f"{self.folder}/fresh-{commit:016x}")
+            fresh.write.parquet(f"{self.folder}/fresh-{commit}")
+            fresh = self.spark.read.schema("space int, algo string, plain string, n long, id long").parquet(f"{self.folder}/fresh-{commit}")
             own = fresh.select("id", F.lit(0).alias("kind"), "space", "algo", "plain", "n")
             for kind, found in self._found(fresh):
                 own = own.unionByName(found.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
@@ -303,9 +304,8 @@ class SegmentIndex:
         }
         with ThreadPoolExecutor(len(parts)) as pool:
             counts = [c for done in [pool.submit(self._append, name, df, commit) for name, df in parts.items()] for c in done.result()]
-        listed = F.array(*(F.struct(*map(F.lit, c)) for c in counts)).cast("array<struct<name: string, bucket: int, n: bigint>>")
-        row = zip((F.lit(len(self.commits)), F.lit(commit), F.lit(self.buckets), listed, F.lit(path)), ("number", "commit", "buckets", "counts", "path"))
-        self.spark.range(0, 1, 1, 1).select(*(c.alias(name) for c, name in row)).write.mode("append").parquet(f"{self.folder}/manifest")
+        entry = json.dumps({"number": len(self.commits), "commit": commit, "buckets": self.buckets, "counts": counts, "path": path})
+        self.spark.range(0, 1, 1, 1).select(F.lit(entry).alias("entry")).write.mode("append").parquet(f"{self.folder}/manifest")
         self._count_in(commit, path, counts)
         return judged
 

@@ -189,7 +189,7 @@ def test_segment_index_is_opened_again(spark, tmp_path):
     answers = [{(x.plain, x.status) for x in index.add(frame(digests), 1).collect()} for index in (one, two)]
     assert answers[0] == answers[1] and len(answers[0]) == len(set(digests))
     # What a failed batch left behind doesn't count.
-    rest = spark.createDataFrame([(0, "md5", "ff" * 16)], "space int, algo string, plain string").withColumns({"id": F.xxhash64("space", "plain"), "commit": F.lit(7)})
+    rest = spark.createDataFrame([(0, "md5", "ff" * 16)], "space int, algo string, plain string").withColumns({"id": F.xxhash64("space", "plain"), "commit": F.lit("c7")})
     rest.withColumn("bucket", two._bucket(F.col("id"))).write.mode("append").partitionBy("bucket", "commit").parquet(str(tmp_path / "b" / "digests"))
     assert SegmentIndex(spark, str(tmp_path / "b")).accepted().count() == one.accepted().count()
     assert [x.status for x in SegmentIndex(spark, str(tmp_path / "b")).add(frame([("md5", "ff" * 16)]), 2).collect()] == ["new"]
