@@ -43,6 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _made[-1]
 
 
+_OWNER = os.getpid()
 _made: list[str] = []
 _root: list[str] = []
 
@@ -65,8 +66,8 @@ def file_system(uri: str):
 
 @atexit.register
 def remove_written() -> None:
-    """Removes the tables written so far; nothing that reads them may follow."""
-    while _made:
+    """Removes the tables written so far; nothing that reads them may follow.  A forked process leaves those of its parent alone."""
+    while _made and os.getpid() == _OWNER:
         try:
             system, path = file_system(_made.pop())
             system.delete_dir(path)
