@@ -234,3 +234,41 @@ def test_scores_are_those_of_the_rows():
     slots, owner = rows.take(np.arange(len(p)))
     slow = np.bincount(owner, weights=weights[slots]) / np.sqrt(np.bincount(owner)) + 0.5
     assert np.allclose(p.scores(weights, 0.5), slow) and (np.bincount(owner) == p.sizes).all()
+
+
+def test_all_documents_take_part_in_the_fit(spark):
+    n = 25_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("pan "), F.col("id").cast("string"), F.lit("x")).alias("text"))
+    labels = docs.select("doc_id", F.lit("r").alias("rater"), F.lit("abusive").alias("verdict"))
+    rows = toxicity.training_rows(docs, labels)
+    assert {r.sampled: r["count"] for r in rows.groupBy("sampled").count().collect()} == {False: n, True: n}
+    flags = rows.select("text", (F.col("bad") > 0).alias("toxic"), F.lit(False).alias("sure"), "sampled")
+    blocks = toxicity.Stored(toxicity._blocks(flags))
+    totals = list(toxicity._totals(spark, toxicity._document_counts, None, blocks.all()))
+    assert sum(x[0] for x in totals).sum(axis=0).tolist() == [n, n] and len(blocks.files) == toxicity.PARTS
+    pan = toxicity._hash("pan") % toxicity.SLOTS
+    assert sum(x[1].astype(int) for x in totals)[:, :, pan].sum(axis=0).tolist() == [n, n]
+
+
+def test_packed_passages_and_gradients():
+    words = toxicity.Words()
+    toxicity.Passages(["not in the next texts"], words)
+    p = toxicity.Passages(["the pan is warm. no", None, "you are a worthless m*ron today and the pan fits, it does. the pan", "x", "!"], words)
+    for data in (p, toxicity.Passages.unpacked(p.pack()), p.pick(np.array([0, 2])), toxicity.Passages([])):
+        rows = toxicity.Rows(data)
+        slots, owner = rows.take(np.arange(len(data)))
+        g, weights = np.random.default_rng(1).normal(size=len(data)), np.random.default_rng(2).normal(size=toxicity.SLOTS)
+        slow = np.bincount(slots, (g / np.sqrt(data.sizes))[owner], toxicity.SLOTS) if len(slots) else np.zeros(toxicity.SLOTS)
+        assert np.allclose(data.gradient(g), slow)
+        assert np.allclose(data.scores(weights, 1.0), [weights[slots[owner == i]].sum() / np.sqrt((owner == i).sum()) + 1 for i in range(len(data))])
+    rows = toxicity.Rows(p)
+    slots, owner = rows.take(np.arange(len(p)))
+    assert set(zip(*(x.tolist() for x in p.by_document()))) == set(zip(p.doc[owner].tolist(), slots.tolist()))
+
+
+def test_tallies():
+    x = np.random.default_rng(0).integers(-5, 50, 1000)
+    t = toxicity.Tally.sum([toxicity.Tally.of(x[:300]), toxicity.Tally.of(x[300:])])
+    q = np.linspace(0, 1, 77)
+    assert len(t) == 1000 and np.allclose(t.quantile(q), np.quantile(x, q)) and np.allclose(t.above(q * 60), [(x >= c).mean() for c in q * 60])
+    assert len(t.where(t.values > 7)) == (x > 7).sum() and len(toxicity.Tally.sum([])) == 0
